@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryglass.plans.cut import Scratch
 from quarryglass.plans.salt import salted_join
 
 EARTH_M = 6_371_008.8
@@ -63,7 +64,9 @@ def near_pairs(points: DataFrame, metres: float, id_col: str = "file_id", lat: s
     match nothing; an empty table gives an empty result.
     """
     p = points.select(F.col(id_col).alias("_id"), (F.col(lat) + 0.0).alias("_lat"), (F.col(lon) + 0.0).alias("_lon")).where("_id IS NOT NULL AND _lat IS NOT NULL AND _lon IS NOT NULL")
-    spot = p.groupBy("_lat", "_lon").agg(F.min("_id").alias("_spot"))
+    scratch = Scratch(points.sparkSession, "near")
+    p = scratch.write(p, "points")
+    spot = scratch.write(p.groupBy("_lat", "_lon").agg(F.min("_id").alias("_spot")), "spots")
     reach = math.degrees(metres / EARTH_M) * (1 + 1e-9)
     step = reach * CELL
     row = F.floor(F.col("_lat") / step)
@@ -180,12 +183,12 @@ def containing_regions(points: DataFrame, regions: DataFrame, id_col: str = "fil
     p = points.select(F.col(id_col).alias("id"), F.col(lat).alias("_y"), turned.alias("_x"))
     p = p.withColumns({"tile_x": F.floor(F.col("_x") / tile).cast("int"), "tile_y": F.floor(F.col("_y") / tile).cast("int")})
     met = p.join(region_slabs(regions, tile), ["tile_x", "tile_y"])
-    met = met.withColumn("_k", _last_at_most(F.size("wests"), lambda k: F.element_at("wests", k) <= F.col("_x"))).where("_k > 0")
-    met = met.withColumns({"_w": F.element_at("wests", F.col("_k")), "_e": F.element_at("easts", F.col("_k")), "_edges": F.element_at("edges", F.col("_k"))}).where("_x < _e")
+    met = met.withColumn("_k", _last_at_most(F.size("wests"), lambda k: F.get("wests", k - 1) <= F.col("_x"))).where("_k > 0")
+    met = met.withColumns({"_w": F.get("wests", F.col("_k") - 1), "_e": F.get("easts", F.col("_k") - 1), "_edges": F.get("edges", F.col("_k") - 1)}).where("_x < _e")
     met = met.withColumn("_t", (F.col("_x") - F.col("_w")) / (F.col("_e") - F.col("_w"))).select("id", "region_id", "_y", "_t", "_edges")
 
     def below(k: Column) -> Column:
-        edge = F.element_at("_edges", k)
+        edge = F.get("_edges", k - 1)
         return edge["w"] + (edge["e"] - edge["w"]) * F.col("_t") <= F.col("_y")
 
     return met.where(_last_at_most(F.size("_edges"), below) % 2 == 1).select("id", "region_id").distinct()
