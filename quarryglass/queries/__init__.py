@@ -7,7 +7,7 @@ import importlib
 from quarryglass.catalog import Catalog
 
 CATALOG = Catalog()
-MODULES = ("places", "times")
+MODULES = ("places", "times", "duplicates", "derived")
 
 for _m in MODULES:
     importlib.import_module(f"{__name__}.{_m}").register(CATALOG)
