@@ -11,33 +11,20 @@ import math
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryglass.functions.keys import digest, hamming, hash64
 from quarryglass.operators.components import connected_components
+from quarryglass.operators.similar import block_keys
 from quarryglass.plans.cut import Scratch
 from quarryglass.plans.salt import salted_join
+from quarryglass.plans.sizing import broadcast_if_at_most
 
 RECORD = "file_id bigint, digest string, bits bigint, look bigint"
 
 
-def block_masks(distance: int, bands: int) -> list[int]:
-    """Masks of 64 bits such that two values within ``distance`` bits agree under at least one of them.
-
-    The bits are cut into ``bands`` runs; at most ``distance`` runs hold a difference, so some choice of
-    ``bands - distance`` runs holds none.
-    """
-    if not 0 <= distance < bands <= 64:
-        raise ValueError("0 <= distance < bands <= 64 is needed")
-    at = [64 * k // bands for k in range(bands + 1)]
-    runs = [((1 << b) - (1 << a)) for a, b in zip(at, at[1:])]
-    masks = [sum(c) for c in combinations(runs, bands - distance)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
 def cached_records(file_cache: DataFrame, content: DataFrame) -> DataFrame:
     """The record of each file of the cache: of a path written twice, the row with the later ``cached_at``."""
     last = file_cache.where("file_id IS NOT NULL").groupBy("file_id").agg(F.max(F.struct("cached_at", "file_hash")).alias("r"))
@@ -63,14 +50,16 @@ def _with_looks(files: DataFrame, content: DataFrame) -> DataFrame:
 class Linker:
     """The persisted state of a linkage, and the steps on it.
 
-    ``distance``: bits in which perceptual hashes of linked files may differ. ``bands``: see :func:`block_masks`; with
-    6 bands at a distance of 4, an index row per value and pair of bands (15), each of about 21 bits.
+    ``distance``: bits in which perceptual hashes of linked files may differ. ``bands``: see ``block_masks``; with
+    6 bands at a distance of 4, an index row per value and pair of bands (15), each of about 21 bits. ``broadcast_rows``:
+    of a batch that is sent to the history instead of shuffling it.
     """
 
     spark: SparkSession
     distance: int = 4
     bands: int = 6
     batch_rows_per_task: int = 20_000
+    broadcast_rows: int = 50_000
 
     def __post_init__(self) -> None:
         self.scratch = Scratch(self.spark, "linkage")
@@ -96,29 +85,35 @@ class Linker:
         return self._history("links", "new bigint, old bigint, same_digest boolean, bits_apart int, look_apart int")
 
     def _keys(self, values: DataFrame) -> DataFrame:
-        masks = [F.struct(F.lit(k).alias("mask_no"), F.col("value").bitwiseAND(F.lit(m).cast("bigint")).alias("key")) for k, m in enumerate(block_masks(self.distance, self.bands))]
-        return values.select("value", F.explode(F.array(*masks)).alias("m")).select("m.mask_no", "m.key", "value")
+        return block_keys(values, self.distance, self.bands)
 
-    def probe(self, batch: DataFrame, rows: int | None = None) -> DataFrame:
-        """Links of the batch's records to the history: an equal digest, or perceptual hashes within ``distance``.
+    def near_values(self, batch: DataFrame, rows: int | None = None) -> DataFrame:
+        """``(v_new, v_old)``: perceptual hashes of the batch and of the history within ``distance``, each pair once.
 
-        Equal hashes are joined once as a value, its files only after the values are verified. A blocking key that many
-        values of the batch share is split over tasks; where the batch is known to have at most ``batch_rows_per_task``
-        rows, no key can be hot. One row per pair of files, no pair within the batch.
+        A batch of at most ``broadcast_rows`` rows sends its keys to the index, which is read where it lies. A larger one is
+        joined by a shuffle, in which a blocking key that many values of the batch share is split over tasks.
         """
-        old, here = self.members, batch.select("file_id", "digest", "bits", "look")
-        values = here.where("bits IS NOT NULL").select(F.col("bits").alias("value")).distinct()
+        values = batch.where("bits IS NOT NULL").select(F.col("bits").alias("value")).distinct()
         own = self._keys(values).withColumnRenamed("value", "v_new")
         index = self.index.withColumnRenamed("value", "v_old")
-        if rows is not None and rows <= self.batch_rows_per_task:
-            met = own.join(index, ["mask_no", "key"])
+        if rows is not None and rows <= self.broadcast_rows:
+            met = index.join(F.broadcast(own), ["mask_no", "key"])
         else:
             met = salted_join(own, index, ["mask_no", "key"], "v_new", self.batch_rows_per_task)
-        near = met.where(hamming(F.col("v_new"), F.col("v_old")) <= self.distance).select("v_new", "v_old").distinct()
-        new = here.select(F.col("file_id").alias("new"), F.col("digest").alias("_d"), F.col("bits").alias("_b"), F.col("look").alias("_l"))
-        was = old.select(F.col("file_id").alias("old"), F.col("digest").alias("_od"), F.col("bits").alias("_ob"), F.col("look").alias("_ol"))
-        alike = near.join(new, F.col("v_new") == F.col("_b")).join(was, F.col("v_old") == F.col("_ob")).drop("v_new", "v_old")
-        exact = new.join(was, F.col("_d") == F.col("_od"))
+        return met.where(hamming(F.col("v_new"), F.col("v_old")) <= self.distance).select("v_new", "v_old").distinct()
+
+    def probe(self, batch: DataFrame, near: DataFrame, rows: int | None = None) -> DataFrame:
+        """Links of the batch's records to the history: an equal digest, or perceptual hashes that are ``near``.
+
+        Equal hashes were joined once as a value; their files follow here. One row per pair of files, no pair within the batch.
+        """
+        new = batch.select(F.col("file_id").alias("new"), F.col("digest").alias("_d"), F.col("bits").alias("_b"), F.col("look").alias("_l"))
+        was = self.members.select(F.col("file_id").alias("old"), F.col("digest").alias("_od"), F.col("bits").alias("_ob"), F.col("look").alias("_ol"))
+        small = rows is not None and rows <= self.broadcast_rows
+        by_value = broadcast_if_at_most(near, self.broadcast_rows).join(F.broadcast(new) if small else new, F.col("v_new") == F.col("_b"))
+        by_value = broadcast_if_at_most(by_value, self.broadcast_rows) if small else by_value
+        alike = was.join(by_value, F.col("v_old") == F.col("_ob")).drop("v_new", "v_old")
+        exact = was.join(F.broadcast(new) if small else new, F.col("_d") == F.col("_od"))
         both = alike.unionByName(exact).where("new <> old")
         apart = lambda a, b: hamming(F.col(a), F.col(b)).cast("int")
         return both.select("new", "old", F.coalesce(F.col("_d") == F.col("_od"), F.lit(False)).alias("same_digest"), apart("_b", "_ob").alias("bits_apart"), apart("_l", "_ol").alias("look_apart")).distinct()
@@ -126,20 +121,22 @@ class Linker:
     def step(self, batch: DataFrame, generation: int, rows: int | None = None) -> DataFrame:
         """Link a batch against the history and accept it. Returns its links, which are written.
 
-        Three tables are written side by side: the links, the batch's records, and the keys of the values that the index
-        doesn't have yet. ``rows``: of the batch, if known.
+        First the near values are found; then three tables are written side by side: the links, the batch's records, and
+        the keys of the values that the index doesn't have yet. ``rows``: of the batch, if known.
         """
         records = batch.select("file_id", "digest", "bits", "look")
         values = records.where("bits IS NOT NULL").select(F.col("bits").alias("value")).distinct()
+        found = self.links
         if self.generations:
-            values = values.join(self.members.select(F.col("bits").alias("value")), "value", "left_anti")
-            found = self.probe(batch, rows)
-        else:
-            found = self.links
+            near = self.scratch.write(self.near_values(batch, rows), f"near/g{generation}")
+            values = values.join(near.where("v_new = v_old").select(F.col("v_new").alias("value")), "value", "left_anti")
+            found = self.probe(batch, near, rows)
         parts = {"links": found, "members": records, "index": self._keys(values)}
         with ThreadPoolExecutor(len(parts)) as pool:
             written = {k: pool.submit(self.scratch.write, df, f"{k}/g{generation}") for k, df in parts.items()}
             written = {k: f.result() for k, f in written.items()}
+        if self.generations:
+            self.scratch.drop(self.scratch.path(f"near/g{generation}"))
         self.generations.append(generation)
         return written["links"]
 
