@@ -82,7 +82,7 @@ def progress(total: Column, done: Column, elapsed: Column) -> list[Column]:
 
 def trailing_count(log: DataFrame, ts: str, seconds: int, by: str) -> DataFrame:
     """Each row with the number of rows of its group in the ``seconds`` up to it, itself included."""
-    w = Window.partitionBy(by).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(by).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return log.withColumn("in_window", F.count(F.lit(1)).over(w))
 
 

@@ -10,6 +10,8 @@ from quarryglass.functions.tags import parsed_date
 from quarryglass.operators.assets import latest, merge_phases
 from quarryglass.sources.tables import table
 
+CONTENT_ORDER = ("phash", "sharpness_score", "quality_score", "brightness", "contrast", "noise_level", "warmth_score", "sharpness_level", "exposure", "color_temperature", "average_hash", "hash_error")
+
 
 def images(spark: SparkSession, d: str) -> DataFrame:
     """The latest row of image_metadata per file."""
@@ -17,8 +19,8 @@ def images(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contents(spark: SparkSession, d: str) -> DataFrame:
-    """One row of content_analysis per file; of rows whose hash is spelled differently the greatest spelling."""
-    return latest(table(spark, d, "content_analysis"), "file_id", F.col("phash"))
+    """One row of content_analysis per file: of differing ones the greatest by hash and then by the statistics."""
+    return latest(table(spark, d, "content_analysis"), "file_id", *map(F.col, CONTENT_ORDER))
 
 
 def analyses(spark: SparkSession, d: str) -> DataFrame:
@@ -42,9 +44,9 @@ def hashed_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 IMG = "img AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY scanned_at DESC NULLS LAST) AS rn_i FROM image_metadata WHERE file_id IS NOT NULL) WHERE rn_i = 1)"
-CON = "con AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY phash DESC NULLS LAST) AS rn_c FROM content_analysis WHERE file_id IS NOT NULL) WHERE rn_c = 1)"
+CON = "con AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY " + ", ".join(f"{c} DESC NULLS LAST" for c in CONTENT_ORDER) + ") AS rn_c FROM content_analysis WHERE file_id IS NOT NULL) WHERE rn_c = 1)"
 ML = "ml AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id) AS rn_m FROM ml_analysis WHERE file_id IS NOT NULL) WHERE rn_m = 1)"
-TAKEN = "coalesce(try_strptime(i.datetime_original, '%Y:%m:%d %H:%M:%S'), try_strptime(i.datetime_original, '%Y-%m-%d %H:%M:%S'), try_strptime(i.datetime_original, '%Y-%m-%dT%H:%M:%S'))"
+TAKEN = "CASE WHEN regexp_full_match(i.datetime_original, '\\d{4}([:-]\\d\\d){2}[ T]\\d\\d(:\\d\\d){2}') THEN coalesce(try_strptime(i.datetime_original, '%Y:%m:%d %H:%M:%S'), try_strptime(i.datetime_original, '%Y-%m-%d %H:%M:%S'), try_strptime(i.datetime_original, '%Y-%m-%dT%H:%M:%S')) END"
 ASSET = f"""{IMG}, {CON}, {ML},
 asset AS (
   SELECT coalesce(i.file_id, c.file_id, m.file_id) AS file_id, coalesce(m.image_path, c.image_path, i.file_path) AS file_path, i.file_size, i.width, i.height, i.mode, i.format,

@@ -106,7 +106,13 @@ FLAT_SQL = f"{_CATS}, joined AS (SELECT *, CASE WHEN {_TOTAL} > {W.MAX_TAGS} THE
 
 
 def flat(spark, d):
-    return assets(spark, d).select("file_id", "quality_score", G.flat_tags(tag_columns()).alias("tags"))
+    by = {n: F.col(f"t_{n}") for n in W.CATEGORIES}
+    return categorised(spark, d).select("file_id", "quality_score", G.flat_tags(by).alias("tags"))
+
+
+def categorised(spark, d):
+    """The categories as columns, so that each is computed once."""
+    return assets(spark, d).select("file_id", "quality_score", *(x.alias(f"t_{n}") for n, x in tag_columns().items()))
 
 
 def register(c: Catalog) -> None:
@@ -118,11 +124,11 @@ def register(c: Catalog) -> None:
         a = assets(spark, d)
         return a.select("file_id", Q.sharpness_level(F.col("sharpness_score")).alias("sharpness"), Q.exposure_level(F.col("brightness")).alias("exposure"), Q.color_temperature(F.col("warmth_score")).alias("temperature"), Q.quality_tier(F.col("quality_score")).alias("tier"))
 
-    @c.query("quality_score", f"""WITH {ASSET} SELECT file_id, CASE WHEN noise_level IS NOT NULL AND brightness IS NOT NULL AND contrast IS NOT NULL THEN floor(100 * greatest(0.0, least(100.0, 0.3 * greatest(0.0, 100.0 - 2.0 * noise_level) + 0.2 * least(100.0, 200 / 255.0 * 100.0)
-        + 0.3 * (100.0 - abs(127.5 - brightness) / 1.275) + 0.2 * least(100.0, contrast / 70.0 * 100.0))) + 1e-6)::BIGINT END AS score FROM asset""")
+    @c.query("quality_score", f"""WITH {ASSET} SELECT file_id, floor(100 * greatest(0.0, least(100.0, 0.3 * greatest(0.0, 100.0 - 2.0 * noise_level) + 0.2 * least(100.0, 200 / 255.0 * 100.0)
+        + 0.3 * (100.0 - abs(127.5 - brightness) / 1.275) + 0.2 * least(100.0, contrast / 70.0 * 100.0))) + 1e-6)::BIGINT AS score FROM asset WHERE noise_level IS NOT NULL AND brightness IS NOT NULL AND contrast IS NOT NULL""")
     def score(spark, d):
         s = Q.quality_score(F.col("noise_level"), F.lit(200), F.col("brightness"), F.col("contrast"))
-        return assets(spark, d).select("file_id", F.floor(100 * s + 1e-6).alias("score"))
+        return assets(spark, d).select("file_id", F.floor(100 * s + 1e-6).alias("score")).where("score IS NOT NULL")
 
     for name, sql in TAG_SQL.items():
         @c.query(f"tags_{name}", f"WITH {ASSET} SELECT file_id, array_to_string({sql}, ',') AS tags FROM asset")
@@ -135,10 +141,10 @@ def register(c: Catalog) -> None:
 
     @c.query("tags_budget", f"WITH {_CATS} SELECT file_id, ({_TOTAL})::INT AS before, least({W.MAX_TAGS}, {_TOTAL})::INT AS kept FROM cats")
     def budget(spark, d):
-        cats = tag_columns()
+        cats = {n: F.col(f"t_{n}") for n in W.CATEGORIES}
         before = sum((F.size(x) for x in cats.values()), F.lit(0))
         kept = sum((F.size(x) for x in G.within_budget(cats).values()), F.lit(0))
-        return assets(spark, d).select("file_id", before.cast("int").alias("before"), kept.cast("int").alias("kept"))
+        return categorised(spark, d).select("file_id", before.cast("int").alias("before"), kept.cast("int").alias("kept"))
 
     @c.query("detections_filter", f"WITH {ASSET} SELECT file_id, len(list_filter(objects, lambda o: struct_extract(o, 'confidence') >= 0.8))::INT AS kept, array_to_string({_UNIQUE}, ',') AS labels FROM asset WHERE objects IS NOT NULL")
     def detections(spark, d):
@@ -196,7 +202,7 @@ def register(c: Catalog) -> None:
 
     @c.query("rename_plan", f"""WITH {ASSET}, w AS (SELECT file_path AS path, strftime(taken, '%Y-%m') || '_' || replace(model, ' ', '-') || lower(regexp_extract(file_path, '[^/\\\\](\\.[^./\\\\]+)$', 1)) AS w FROM asset WHERE taken IS NOT NULL AND model IS NOT NULL AND file_path IS NOT NULL),
         s AS (SELECT path, {_san.format('w')} AS w FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY path) - 1 AS seq FROM s), e AS (SELECT *, regexp_extract(w, '\\.[^.]*$') AS x FROM r)
-        SELECT path, CASE WHEN seq = 0 THEN w ELSE w[1:len(w) - len(x)] || '_' || lpad(seq::VARCHAR, greatest(3, len(seq::VARCHAR)), '0') || x END AS new_name, seq::INT AS seq FROM e""")
+        SELECT path, CASE WHEN seq = 0 THEN w ELSE w[1:len(w) - len(x)] || '_' || lpad(seq::VARCHAR, greatest(3, len(seq::VARCHAR))::INT, '0') || x END AS new_name, seq::INT AS seq FROM e""")
     def rename(spark, d):
         a = assets(spark, d).where("datetime_taken IS NOT NULL AND model IS NOT NULL AND file_path IS NOT NULL")
         wanted = X.patterned_name("{year}-{month}_{camera}", F.col("datetime_taken"), F.col("model"), F.col("tags"), F.col("file_path"))
@@ -232,7 +238,7 @@ def register(c: Catalog) -> None:
         return i.agg(F.sum("file_size").alias("now_bytes"), F.round(F.sum(space_change(F.col("ext"), F.col("target"), F.col("file_size")).cast("decimal(20,1)"))).cast("bigint").alias("change_bytes"))
 
     @c.query("copy_destinations", f"""WITH {IMG}, p AS (SELECT file_path AS path, regexp_extract(file_path, '[^/]*$') AS n FROM img), k AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY path) - 1 AS k, regexp_extract(n, '.(\\.[^.]*)$', 1) AS e FROM p)
-        SELECT path, '/archive/' || CASE WHEN k = 0 THEN n ELSE n[1:len(n) - len(e)] || '_' || lpad(k::VARCHAR, greatest(3, len(k::VARCHAR)), '0') || e END AS destination FROM k""")
+        SELECT path, '/archive/' || CASE WHEN k = 0 THEN n ELSE n[1:len(n) - len(e)] || '_' || lpad(k::VARCHAR, greatest(3, len(k::VARCHAR))::INT, '0') || e END AS destination FROM k""")
     def destination(spark, d):
         return destinations(images(spark, d).select(F.col("file_path").alias("path")), "/archive", "/library")
 

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def log_stream(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
+def log_stream(spark: SparkSession, folder: str, schema: StructType, files: str = "*.parquet", files_per_trigger: int = 100) -> DataFrame:
     """New Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", files).parquet(folder)
 
 
 def windowed_counts(events: DataFrame, ts: str, kind: str, value: str, window: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -24,11 +25,19 @@ def windowed_counts(events: DataFrame, ts: str, kind: str, value: str, window: s
     return out.select(F.col("w.start").alias("start"), "kind", "n", "total")
 
 
-def run_to_end(stream: DataFrame, checkpoint: str, table: str, mode: str = "append") -> DataFrame:
-    """Process what is there, then stop; what a former run with the same checkpoint has done isn't done again."""
-    q = stream.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(aggregated: DataFrame, checkpoint: str, folder: str) -> DataFrame:
+    """Process what is there, then stop, and return the whole aggregate as a table written to ``folder``.
+
+    A later run with the same checkpoint reads only new files. The result never passes through the driver.
+    """
+    schema = aggregated.schema
+
+    def replace(df: DataFrame, _: int) -> None:
+        df.write.mode("overwrite").parquet(folder)
+
+    q = aggregated.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(table)
+    return aggregated.sparkSession.read.schema(schema).parquet(folder)
 
 
 def each_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None]) -> None:
