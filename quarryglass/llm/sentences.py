@@ -58,7 +58,7 @@ SURE_ENDS = frozenset("。！？｡।॥؟۔‼⁇⁈⁉։።။។")
 WHITE = r"[\s﻿]"
 
 BREAK = regex.compile(r"(?:\r\n|[\n\r \x0b\x0c\x85])[^\S\n\r \x0b\x0c\x85]*﻿*(?:[^\S\n\r \x0b\x0c\x85]|﻿)*(?=[\n\r \x0b\x0c\x85])| ")
-MARKS = regex.compile(r"[.!?…‥。！？｡।॥؟۔‼⁇⁈⁉։።။។]+|[“”«»()\[\]（）［］「」『』【】《》〈〉„\"]|(?<=\p{Thai})" + WHITE + r"+(?=\p{Thai})")
+MARKS = regex.compile(r"[.．!?…‥。！？｡।॥؟۔‼⁇⁈⁉։።။។]+|[“”«»()\[\]（）［］「」『』【】《》〈〉„\"]|(?<=\p{Thai})" + WHITE + r"+(?=\p{Thai})")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 FILE = regex.compile(r"(?:[\w\-]*[\d_][\w\-]*\.\w{1,5}\b|/\w+/)")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.’'\-][\p{L}\p{M}\p{N}]+)*")
