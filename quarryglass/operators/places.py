@@ -152,7 +152,8 @@ def region_slabs(regions: DataFrame, tile: float = 1.0) -> DataFrame:
             for (tx, ty, region), slabs in rows.items():
                 slabs.sort(key=lambda s: s[0])
                 out.append((tx, ty, region, [s[0] for s in slabs], [s[1] for s in slabs], [[{"w": y[0], "e": y[1]} for y in s[2]] for s in slabs]))
-            yield pd.DataFrame(out, columns=["tile_x", "tile_y", "region_id", "wests", "easts", "edges"])
+            if out:
+                yield pd.DataFrame(out, columns=["tile_x", "tile_y", "region_id", "wests", "easts", "edges"])
 
     schema = "tile_x int, tile_y int, region_id bigint, wests array<double>, easts array<double>, edges array<array<struct<w:double,e:double>>>"
     return regions.select("region_id", "boundary_wkt").dropDuplicates().mapInPandas(cut, schema)
