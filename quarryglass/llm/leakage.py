@@ -228,7 +228,8 @@ def _block(docs: DataFrame, ids: list[int], passages: list[np.ndarray]) -> DataF
                     n = len(own[i])
                     near = codes[max(0, p - q - n // 4) : p - q + n + n // 4]
                     out.append((doc, names[i], run, smith_waterman(own[i], near) / (MATCH * n)))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "longest_run", "aligned"])
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "longest_run", "aligned"])
 
     return docs.mapInPandas(find, "doc_id bigint, item_id bigint, longest_run int, aligned double")
 

@@ -318,7 +318,8 @@ def learned_abbreviations(documents: DataFrame, text: str = "text") -> DataFrame
                     if len(seen) > WORDS_HELD:
                         yield emit()
                         seen.clear()
-        yield emit()
+        if seen:
+            yield emit()
 
     counts = documents.select(F.col(text).alias("text")).where("text IS NOT NULL").mapInPandas(count, "word string, lower bigint, stop bigint, bare bigint")
     total = counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("lower", "stop", "bare")))
@@ -362,7 +363,8 @@ def sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
     def own_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [(i, w) for i, t in zip(batch["doc_id"], batch["text"]) for w in {w for w, u in short_words(t) if u != "bare"}]
-            yield pd.DataFrame(found, columns=["doc_id", "word"])
+            if found:
+                yield pd.DataFrame(found, columns=["doc_id", "word"])
 
     keyed = docs.mapInPandas(own_words, "doc_id bigint, word string").join(learned, "word").groupBy("doc_id").agg(F.collect_set("word").alias("words"))
 
