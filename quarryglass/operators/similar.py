@@ -32,8 +32,9 @@ def block_masks(distance: int, bands: int) -> list[int]:
 
 def block_keys(values: DataFrame, distance: int, bands: int) -> DataFrame:
     """``(mask_no, key, value)``: the blocking keys of each BIGINT ``value``."""
-    masks = [F.struct(F.lit(k).alias("mask_no"), F.col("value").bitwiseAND(F.lit(m).cast("bigint")).alias("key")) for k, m in enumerate(block_masks(distance, bands))]
-    return values.select("value", F.explode(F.array(*masks)).alias("m")).select("m.mask_no", "m.key", "value")
+    # one expression in SQL: built from columns, dozens of calls to the JVM would cost more than the query on small inputs
+    masks = ", ".join(f"struct({k} AS mask_no, value & cast({m} AS bigint) AS key)" for k, m in enumerate(block_masks(distance, bands)))
+    return values.selectExpr("value", f"explode(array({masks})) AS m").select("m.mask_no", "m.key", "value")
 
 
 def hamming_value_pairs(values: DataFrame, distance: int, bands: int | None = None, rows_per_task: int = 20_000) -> DataFrame:
