@@ -11,7 +11,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_ROOT: str | None = None
 
@@ -56,6 +57,12 @@ class Scratch:
         (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
         return self.read(path, df)
 
+    def write_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """Like ``write``, with the number of rows, which is taken while they are written."""
+        seen = Observation()
+        self.write(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        return self.read(self.path(name), df), seen.get["n"]
+
     def read(self, path: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(path)
 
