@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The row of each key that is last in the order (each column ascending, nulls first); rows without a key are dropped.
 
-    A partial aggregation of row structs, so that a key with very many rows is no hot task. Maps can't be ordered and must
-    not be in ``order``.
+    A window with a row number of 1, so that unused columns are never read and all but the first row of a key in each
+    input partition are dropped before the shuffle.
     """
-    by = F.struct(*[o.alias(f"_{k}") for k, o in enumerate(order)])
-    picked = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in df.columns]), by).alias("_row"))
-    return picked.select("_row.*")
+    w = Window.partitionBy(key).orderBy(*[o.desc_nulls_last() for o in order])
+    return df.where(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
 def merge_phases(phases: list[DataFrame], key: str) -> DataFrame:
