@@ -20,7 +20,6 @@ from quarryglass.operators.components import connected_components
 from quarryglass.operators.similar import block_keys
 from quarryglass.plans.cut import Scratch
 from quarryglass.plans.salt import salted_join
-from quarryglass.plans.sizing import broadcast_if_at_most
 
 RECORD = "file_id bigint, digest string, bits bigint, look bigint"
 
@@ -102,18 +101,18 @@ class Linker:
             met = salted_join(own, index, ["mask_no", "key"], "v_new", self.batch_rows_per_task)
         return met.where(hamming(F.col("v_new"), F.col("v_old")) <= self.distance).select("v_new", "v_old").distinct()
 
-    def probe(self, batch: DataFrame, near: DataFrame, rows: int | None = None) -> DataFrame:
+    def probe(self, batch: DataFrame, near: DataFrame, near_rows: int, rows: int | None = None) -> DataFrame:
         """Links of the batch's records to the history: an equal digest, or perceptual hashes that are ``near``.
 
-        Equal hashes were joined once as a value; their files follow here. One row per pair of files, no pair within the batch.
+        Equal hashes were joined once as a value; their files follow here. One row per pair of files, no pair within the
+        batch. Near values and the batch are sent to the history where their known rows are at most ``broadcast_rows``.
         """
         new = batch.select(F.col("file_id").alias("new"), F.col("digest").alias("_d"), F.col("bits").alias("_b"), F.col("look").alias("_l"))
         was = self.members.select(F.col("file_id").alias("old"), F.col("digest").alias("_od"), F.col("bits").alias("_ob"), F.col("look").alias("_ol"))
-        small = rows is not None and rows <= self.broadcast_rows
-        by_value = broadcast_if_at_most(near, self.broadcast_rows).join(F.broadcast(new) if small else new, F.col("v_new") == F.col("_b"))
-        by_value = broadcast_if_at_most(by_value, self.broadcast_rows) if small else by_value
-        alike = was.join(by_value, F.col("v_old") == F.col("_ob")).drop("v_new", "v_old")
-        exact = was.join(F.broadcast(new) if small else new, F.col("_d") == F.col("_od"))
+        new = F.broadcast(new) if rows is not None and rows <= self.broadcast_rows else new
+        near = F.broadcast(near) if near_rows <= self.broadcast_rows else near
+        alike = was.join(near, F.col("v_old") == F.col("_ob")).join(new, F.col("v_new") == F.col("_b")).drop("v_new", "v_old")
+        exact = was.join(new, F.col("_d") == F.col("_od"))
         both = alike.unionByName(exact).where("new <> old")
         apart = lambda a, b: hamming(F.col(a), F.col(b)).cast("int")
         return both.select("new", "old", F.coalesce(F.col("_d") == F.col("_od"), F.lit(False)).alias("same_digest"), apart("_b", "_ob").alias("bits_apart"), apart("_l", "_ol").alias("look_apart")).distinct()
@@ -128,9 +127,9 @@ class Linker:
         values = records.where("bits IS NOT NULL").select(F.col("bits").alias("value")).distinct()
         found = self.links
         if self.generations:
-            near = self.scratch.write(self.near_values(batch, rows), f"near/g{generation}")
+            near, n = self.scratch.write_counted(self.near_values(batch, rows), f"near/g{generation}")
             values = values.join(near.where("v_new = v_old").select(F.col("v_new").alias("value")), "value", "left_anti")
-            found = self.probe(batch, near, rows)
+            found = self.probe(batch, near, n, rows)
         parts = {"links": found, "members": records, "index": self._keys(values)}
         with ThreadPoolExecutor(len(parts)) as pool:
             written = {k: pool.submit(self.scratch.write, df, f"{k}/g{generation}") for k, df in parts.items()}
