@@ -11,6 +11,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,26 +30,22 @@ _BITS = 22
 MATCH, MISMATCH, GAP = 2, -1, -2
 
 
-class _Kept(dict):
-    """Code points that folding keeps: categories L, M and N."""
-
-    def __missing__(self, c: int):
-        self[c] = c if unicodedata.category(chr(c))[0] in "LMN" else None
-        return self[c]
-
-
-_KEPT = _Kept()
-
-
-def folded(text: str) -> str:
-    """NFKC, lower case, only letters, marks and digits."""
-    return unicodedata.normalize("NFKC", text).lower().translate(_KEPT)
+@lru_cache(1)
+def _kept() -> np.ndarray:
+    """For every code point whether folding keeps it: categories L, M and N. A megabyte, made once per worker."""
+    return np.array([unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)])
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def folded(text: str) -> np.ndarray:
+    """The code points of a text in NFKC and lower case, only letters, marks and digits."""
+    codes = _codes(unicodedata.normalize("NFKC", text).lower())
+    return codes[_kept()[codes]]
+
+
 def rolling(codes: np.ndarray, n: int) -> np.ndarray:
     """Polynomial hashes modulo 2**64 of all windows of ``n`` code points, by doubling."""
     if len(codes) < n:
@@ -139,14 +136,19 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> int:
     """The best local alignment score of two code arrays with linear gaps, a row at a time."""
     if not len(a) or not len(b):
         return 0
-    ramp = -GAP * np.arange(len(b) + 1, dtype=np.int64)
-    row, best = np.zeros(len(b) + 1, np.int64), 0
-    for c in a:
-        new = np.zeros_like(row)
-        new[1:] = np.maximum(row[:-1] + np.where(b == c, MATCH, MISMATCH), row[1:] + GAP)
+    ramp = -GAP * np.arange(len(b) + 1, dtype=np.int32)
+    gain = {c: np.where(b == c, MATCH, MISMATCH).astype(np.int32) for c in set(a.tolist())}
+    row, new, best = np.zeros(len(b) + 1, np.int32), np.zeros(len(b) + 1, np.int32), 0
+    for c in a.tolist():
+        np.add(row[:-1], gain[c], out=new[1:])
+        row += GAP
+        np.maximum(new, row, out=new)
         np.maximum(new, 0, out=new)
-        row = np.maximum.accumulate(new + ramp) - ramp
+        new += ramp
+        np.maximum.accumulate(new, out=row)
+        row -= ramp
         best = max(best, int(row.max()))
+        new[0] = 0
     return best
 
 
@@ -190,7 +192,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     size = 0
     for r in rows.orderBy("item_id", "passage").toLocalIterator():
         ids.append(r.item_id)
-        own.append(_codes(folded(r.passage)))
+        own.append(folded(r.passage))
         size += len(own[-1])
         if size >= BLOCK_CHARS:
             out = out.union(_block(docs, ids, own))
@@ -223,11 +225,12 @@ def _block(docs: DataFrame, ids: list[int], passages: list[np.ndarray]) -> DataF
         for batch in batches:
             out = []
             for doc, t in zip(batch["doc_id"], batch["text"]):
-                codes = _codes(folded(t))
+                codes = folded(t)
                 for i, (run, p, q) in matches(codes, own, seeds).items():
                     n = len(own[i])
                     near = codes[max(0, p - q - n // 4) : p - q + n + n // 4]
-                    out.append((doc, names[i], run, smith_waterman(own[i], near) / (MATCH * n)))
+                    # a run over the whole passage is a perfect alignment
+                    out.append((doc, names[i], run, 1.0 if run == n else smith_waterman(own[i], near) / (MATCH * n)))
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "longest_run", "aligned"])
 
@@ -235,12 +238,13 @@ def _block(docs: DataFrame, ids: list[int], passages: list[np.ndarray]) -> DataF
 
 
 def _joined(texts: pd.Series) -> Iterator[np.ndarray]:
-    """Folded texts as code arrays, short ones joined by a character that no passage has."""
-    parts, size = [], 0
+    """Folded texts as code arrays, short ones joined by a code that no passage has."""
+    parts, size, apart = [], 0, np.zeros(1, np.uint32)
     for t in texts:
-        parts.append(folded(t))
-        size += len(parts[-1])
+        parts += [folded(t), apart]
+        size += len(parts[-2])
         if size > CHUNK:
-            yield _codes("\0".join(parts))
+            yield np.concatenate(parts)
             parts, size = [], 0
-    yield _codes("\0".join(parts))
+    if parts:
+        yield np.concatenate(parts)
