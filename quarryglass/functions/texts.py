@@ -130,9 +130,10 @@ def quick_hash(content: Column, sample: int = 8192) -> Column:
 
 
 def seconds_text(s: Column) -> Column:
-    """``45s``, ``2.5m``, ``1.5h``."""
+    """``45s``, ``2.5m``, ``1.5h``; null for null. Minutes and hours round the exact binary value, as printf does."""
     d = s.cast("double")
-    return F.when(d < 60, F.concat(F.round(d, 0).cast("bigint").cast("string"), F.lit("s"))).when(d < 3600, F.concat(F.format_string("%.1f", d / 60), F.lit("m"))).otherwise(F.concat(F.format_string("%.1f", d / 3600), F.lit("h")))
+    tenths = lambda x: F.call_function("format_number", x, F.lit("0.0"))
+    return F.when(d < 60, F.concat(F.round(d, 0).cast("bigint").cast("string"), F.lit("s"))).when(d < 3600, F.concat(tenths(d / 60), F.lit("m"))).otherwise(F.concat(tenths(d / 3600), F.lit("h")))
 
 
 def named_objects(answer: Column, most: int = 100) -> Column:

@@ -49,6 +49,10 @@ def register(c: Catalog) -> None:
     def durations(spark, d):
         return table(spark, d, "events").where("value < 60").select("event_id", seconds_text(F.col("value")).alias("text"))
 
+    @c.query("duration_text_all", "SELECT event_id, CASE WHEN value < 60 THEN round(value, 0)::BIGINT || 's' WHEN value < 3600 THEN printf('%.1f', value / 60) || 'm' ELSE printf('%.1f', value / 3600) || 'h' END AS text FROM events")
+    def all_durations(spark, d):
+        return table(spark, d, "events").select("event_id", seconds_text(F.col("value")).alias("text"))
+
     @c.query("rate_limit_window", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events")
     def rate(spark, d):
         return trailing_count(table(spark, d, "events"), "ts", 3600, "user_id").select("event_id", "in_window")
