@@ -52,11 +52,21 @@ def register(c: Catalog) -> None:
         lib, tags = _library(spark, d)
         return with_any_tag(lib, tags, ["dog", "cat"]).where("quality IS NOT NULL AND duration IS NOT NULL")
 
+    @c.query("search_tags_any_all", f"WITH {LIBRARY} SELECT * FROM lib WHERE id IN (SELECT id FROM tags WHERE tag IN ('dog', 'cat'))")
+    def any_tag_all(spark, d):
+        lib, tags = _library(spark, d)
+        return with_any_tag(lib, tags, ["dog", "cat"])
+
     @c.query("search_categories", f"WITH {LIBRARY} SELECT * FROM lib WHERE id IN (SELECT id FROM tags WHERE category = 'object' AND tag IN ('person', 'car')) AND id IN (SELECT id FROM tags WHERE category = 'scene' AND tag IN ('city', 'outdoor')) AND quality IS NOT NULL AND duration IS NOT NULL")
     def categories(spark, d):
         lib, tags = _library(spark, d)
         return with_categories(lib, tags, {"object": ["person", "car"], "scene": ["city", "outdoor"]}).where("quality IS NOT NULL AND duration IS NOT NULL")
 
+    @c.query("search_categories_all", f"WITH {LIBRARY} SELECT * FROM lib WHERE id IN (SELECT id FROM tags WHERE category = 'object' AND tag IN ('person', 'car')) AND id IN (SELECT id FROM tags WHERE category = 'scene' AND tag IN ('city', 'outdoor'))")
+    def categories_all(spark, d):
+        lib, tags = _library(spark, d)
+        return with_categories(lib, tags, {"object": ["person", "car"], "scene": ["city", "outdoor"]})
+
     @c.query("filter_tags_all", f"WITH {FLAT_SQL} SELECT file_id FROM flat WHERE list_contains(tags, 'outdoor') AND list_contains(tags, 'geotagged')")
     def tags_all(spark, d):
         return flat(spark, d).where(has_all(F.col("tags"), ["outdoor", "geotagged"])).select("file_id")
@@ -154,6 +164,10 @@ def register(c: Catalog) -> None:
     def merge(spark, d):
         return assets(spark, d).select("file_id", "file_path", "width", "quality_score", "primary_scene").where("width IS NOT NULL AND quality_score IS NOT NULL")
 
+    @c.query("phase_merge_all")
+    def merge_all(spark, d):
+        return assets(spark, d).select("file_id", "file_path", "width", "quality_score", "primary_scene")
+
     _cached = "cached AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY cached_at DESC) AS rn FROM file_cache) WHERE rn = 1)"
     _json = "try_cast(CASE WHEN json_valid(analysis_json) THEN analysis_json->>'primary_scene' END AS VARCHAR)"
 

@@ -16,6 +16,11 @@ def register(c: Catalog) -> None:
         j = to_json_records(images(spark, d).select("file_id", "width", "model", "scanned_at"), "file_id")
         return from_json_records(j, "file_id", "width int, model string, unknown double").where("width IS NOT NULL AND model IS NOT NULL").select("file_id", "width", "model")
 
+    @c.query("record_round_trip_all")
+    def round_trip_all(spark, d):
+        j = to_json_records(images(spark, d).select("file_id", "width", "model", "scanned_at"), "file_id")
+        return from_json_records(j, "file_id", "width int, model string, unknown double").select("file_id", "width", "model")
+
     _done = "list_filter([CASE WHEN width IS NOT NULL THEN 'metadata' END, CASE WHEN quality_score IS NOT NULL THEN 'content' END, CASE WHEN primary_scene IS NOT NULL THEN 'ml' END], lambda x: x IS NOT NULL)"
 
     @c.query("phases_complete", f"WITH {ASSET} SELECT file_id, array_to_string({_done}, ',') AS done, len({_done}) = 3 AS complete FROM asset")
