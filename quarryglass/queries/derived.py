@@ -208,6 +208,14 @@ def register(c: Catalog) -> None:
         wanted = X.patterned_name("{year}-{month}_{camera}", F.col("datetime_taken"), F.col("model"), F.col("tags"), F.col("file_path"))
         return rename_plan(a.select(F.col("file_path").alias("path"), wanted.alias("wanted")))
 
+    @c.query("rename_plan_all", f"""WITH {ASSET}, w AS (SELECT file_path AS path, coalesce(strftime(taken, '%Y'), '{{year}}') || '-' || coalesce(strftime(taken, '%m'), '{{month}}') || '_' || coalesce(replace(model, ' ', '-'), '{{camera}}') || lower(regexp_extract(file_path, '[^/\\\\](\\.[^./\\\\]+)$', 1)) AS w FROM asset WHERE file_path IS NOT NULL),
+        s AS (SELECT path, {_san.format('w')} AS w FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY path) - 1 AS seq FROM s), e AS (SELECT *, regexp_extract(w, '\\.[^.]*$') AS x FROM r)
+        SELECT path, CASE WHEN seq = 0 THEN w ELSE w[1:len(w) - len(x)] || '_' || lpad(seq::VARCHAR, greatest(3, len(seq::VARCHAR))::INT, '0') || x END AS new_name, seq::INT AS seq FROM e""")
+    def rename_all(spark, d):
+        a = assets(spark, d).where("file_path IS NOT NULL")
+        wanted = X.patterned_name("{year}-{month}_{camera}", F.col("datetime_taken"), F.col("model"), F.col("tags"), F.col("file_path"))
+        return rename_plan(a.select(F.col("file_path").alias("path"), wanted.alias("wanted")))
+
     @c.query("filename_validate", """WITH n AS (SELECT event_id, 'img_' || CASE WHEN event_id % 5 = 0 THEN '20240230_120000' ELSE strftime(ts, '%Y%m%d_%H%M%S') END || '_' || substr(md5(event_id::VARCHAR), 1, 8) || '.' || CASE WHEN event_id % 7 = 0 THEN 'exe' ELSE 'PNG' END AS name FROM events)
         SELECT event_id, name, event_id % 5 <> 0 AND event_id % 7 <> 0 AS valid FROM n""")
     def validate(spark, d):

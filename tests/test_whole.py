@@ -50,3 +50,10 @@ def test_searches_keep_files_without_quality_or_duration(spark, rows, name):
     d = "/root/testdata/sf0.01"
     some, every = rows(CATALOG.runs[name](spark, d)), rows(CATALOG.runs[f"{name}_all"](spark, d))
     assert some < every and all(None in r[2:] for r in every - some)
+
+
+def test_every_file_gets_a_name(spark, data):
+    plan = CATALOG.runs["rename_plan_all"](spark, data).collect()
+    paths = [r.file_path for r in CATALOG.runs["phase_merge_all"](spark, data).where("file_path IS NOT NULL").collect()]
+    assert sorted(r.path for r in plan) == sorted(paths) and len({r.new_name for r in plan}) == len(plan)
+    assert any(r.new_name.startswith("{year}-{month}_") for r in plan) and any("_{camera}" in r.new_name for r in plan)
