@@ -55,7 +55,7 @@ def mask_of(text: Column) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Without white space, NUL or byte-order marks at the ends."""
-    return F.regexp_replace(text, r"^[\s\u0000 ﻿]+|[\s\u0000 ﻿]+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r\0\u00a0\ufeff"))
 
 
 @lru_cache(1)
@@ -255,9 +255,10 @@ def utc_micros(text: Column, offset: Column, zone: Column) -> Column:
         table = np.array([np.nan if (o := _offset_of(x)) is None else float(o) for x in distinct] + [np.nan])
         east = table[codes]
         for mask, rows in _by_value(masks.to_numpy(object)):
-            if mask is not None and (fields := parser_of(mask)):
+            # texts of any length are read; only the masks of usual length are kept by the cache
+            if mask is not None and (fields := (parser_of if len(mask) <= 200 else parser_of.__wrapped__)(mask)):
                 out[rows], known[rows] = _group(list(t[rows]), fields, east[rows], z[rows])
         return pd.Series(out, dtype="Int64").mask(~known)
 
-    short = F.when(F.length(text) <= 200, trimmed(text))
-    return convert(short, mask_of(short), offset, zone)
+    bare = trimmed(text)
+    return convert(bare, mask_of(bare), offset, zone)
