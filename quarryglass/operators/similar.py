@@ -76,36 +76,34 @@ def similar_groups(files: DataFrame, distance: int, bands: int | None = None) ->
 def cosine_pairs(vectors: DataFrame, most: float, block: int = 2_000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(a, b, distance)``, a < b: all pairs of vectors at a cosine distance of at most ``most``.
 
-    Exact, block against block: the vectors are dealt to blocks of about ``block``, every pair of blocks is one task's matrix
-    product, and only pairs within the distance leave it. Null vectors, vectors of length 0 and of another dimension than
-    the first of their block match nothing.
+    Exact, block against block: the vectors of each dimension are dealt to blocks of about ``block``, every pair of blocks is
+    one task's matrix product, and only pairs within the distance leave it. Null and empty vectors and vectors of length 0
+    match nothing, nor do vectors of different dimensions.
     """
     scratch = Scratch(vectors.sparkSession, "cosine")
-    v = scratch.write(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL"), "vectors")
-    blocks = max(1, -(-v.count() // block))
-    v = v.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = v.withColumn("other", F.explode(F.sequence(F.col("blk"), F.lit(blocks - 1)))).select(F.col("blk").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "id", "v")
-    right = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blk")))).select(F.col("other").alias("i"), F.col("blk").alias("j"), F.lit(1).alias("side"), "id", "v")
+    v = scratch.write(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND size(v) > 0").withColumn("dim", F.size("v")), "vectors")
+    dealt = v.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    v = v.join(dealt, "dim").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    left = v.withColumn("other", F.explode(F.sequence(F.col("blk"), F.col("blocks") - 1))).select("dim", F.col("blk").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "id", "v")
+    right = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blk")))).select("dim", F.col("other").alias("i"), F.col("blk").alias("j"), F.lit(1).alias("side"), "id", "v")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         def unit(side: int) -> tuple[np.ndarray, np.ndarray]:
             p = pdf[pdf["side"] == side]
-            dim = len(p["v"].iloc[0]) if len(p) else 0
-            p = p[p["v"].map(len) == dim]
-            m = np.stack(p["v"].to_numpy()) if len(p) and dim else np.zeros((0, 1))
+            m = np.stack(p["v"].to_numpy()) if len(p) else np.zeros((0, 1))
             norm = np.linalg.norm(m, axis=1)
             ok = norm > 0
             return p["id"].to_numpy(np.int64)[ok], m[ok] / norm[ok, None]
 
         (a, x), (b, y) = unit(0), unit(1)
-        if not len(a) or not len(b) or x.shape[1] != y.shape[1]:
+        if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": [], "distance": []})
         d = 1.0 - x @ y.T
         p, q = np.nonzero(d <= most)
         lo, hi = np.minimum(a[p], b[q]), np.maximum(a[p], b[q])
         return pd.DataFrame({"a": lo, "b": hi, "distance": d[p, q]})[lo != hi]
 
-    met = left.union(right).groupBy("i", "j").applyInPandas(compare, "a bigint, b bigint, distance double")
+    met = left.union(right).groupBy("dim", "i", "j").applyInPandas(compare, "a bigint, b bigint, distance double")
     return met.groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
