@@ -24,8 +24,6 @@ from quarryglass.plans.sizing import at_most
 LEARNED_BROADCAST = 200_000
 #: Stops before lower-case words that make a word an abbreviation, and the share of its occurrences that must have a stop.
 LEAST_EVIDENCE, STOP_SHARE = 5, 0.9
-#: Letters of the longest word that is learned as an abbreviation.
-LONGEST = 5
 #: Distinct words a task counts before it hands on its counts.
 WORDS_HELD = 500_000
 
@@ -62,7 +60,8 @@ MARKS = regex.compile(r"[.．!?…‥。！？｡।॥؟۔‼⁇⁈⁉։።။
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 FILE = regex.compile(r"(?:[\w\-]*[\d_][\w\-]*\.\w{1,5}\b|/\w+/)")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.’'\-][\p{L}\p{M}\p{N}]+)*")
-SHORT = regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}.])(\p{{L}}[\p{{L}}\p{{M}}]{{0,{LONGEST - 1}}})(?:(\.)(?:\s+(\p{{Ll}}[\w.]*)|)|(?![\p{{L}}\p{{M}}\p{{N}}]))")
+USED = regex.compile(r"(?<![\p{L}\p{M}\p{N}.])(\p{L}[\p{L}\p{M}]*+)(?:(\.)(?:\s+(\p{Ll}[\w.]*)|)|(?![\p{L}\p{M}\p{N}]))")
+STOP_AND_WHITE = regex.compile(r"\.\s")
 UPPER = regex.compile(r"[\p{Lu}\p{Lt}]")
 LOWER_WORD = regex.compile(r"(?<![\p{L}\p{M}])\p{Ll}[\p{L}\p{M}]*")
 
@@ -76,24 +75,24 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
     yield start, len(text)
 
 
-def short_words(text: str) -> Iterator[tuple[str, str]]:
-    """``(word, use)`` of words of up to ``LONGEST`` letters: ``lower``: a stop and a lower-case word follow; ``stop``: a
+def used_words(text: str) -> Iterator[tuple[str, str]]:
+    """``(word, use)`` of words of any length: ``lower``: a stop and a lower-case word follow; ``stop``: a
     stop; ``bare``: none. Paragraphs without capitals say nothing on what follows a stop, nor do file names."""
     for a, b in paragraphs(text):
         cased = UPPER.search(text, a, b) is not None
-        for m in SHORT.finditer(text, a, b):
+        for m in USED.finditer(text, a, b):
             use = "bare" if not m[2] else "lower" if cased and m[3] and not FILE.match(m[3]) else "stop"
             yield m[1].lower(), use
 
 
 def own_abbreviations(text: str) -> set[str]:
     """Words that this document shows to be abbreviations: with a stop before a lower-case word, and never without one."""
-    if ". " not in text and ".\n" not in text:
+    if not STOP_AND_WHITE.search(text):
         return set()
     uses: dict[str, set[str]] = {}
-    for w, use in short_words(text):
+    for w, use in used_words(text):
         uses.setdefault(w, set()).add(use)
-    return {w for w, u in uses.items() if "lower" in u and "bare" not in u and len(w) <= 3}
+    return {w for w, u in uses.items() if "lower" in u and "bare" not in u}
 
 
 def _partners(text: str, a: int, b: int, marks: list[regex.Match]) -> list[tuple[int, int]]:
@@ -298,7 +297,7 @@ def sentence_spans(text: str, learned: set[str] | frozenset[str] = frozenset())
 
 
 def learned_abbreviations(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``(word)``: short words that the corpus shows to be abbreviations, from counts over all documents.
+    """``(word)``: words that the corpus shows to be abbreviations, from counts over all documents.
 
     At least ``LEAST_EVIDENCE`` times with a stop before a lower-case word, and in ``STOP_SHARE`` of their occurrences with
     a stop. Counts are combined per task before they are shuffled.
@@ -314,7 +313,7 @@ def learned_abbreviations(documents: DataFrame, text: str = "text") -> DataFrame
         for batch in batches:
             for t in batch["text"]:
                 if isinstance(t, str):
-                    seen.update(short_words(t))
+                    seen.update(used_words(t))
                     if len(seen) > WORDS_HELD:
                         yield emit()
                         seen.clear()
@@ -362,7 +361,7 @@ def sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     def own_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(i, w) for i, t in zip(batch["doc_id"], batch["text"]) for w in {w for w, u in short_words(t) if u != "bare"}]
+            found = [(i, w) for i, t in zip(batch["doc_id"], batch["text"]) for w in {w for w, u in used_words(t) if u != "bare"}]
             if found:
                 yield pd.DataFrame(found, columns=["doc_id", "word"])
 
