@@ -1,6 +1,7 @@
 """Texts of dates and times as instants.
 
-A text is reduced to its *shape mask* (digits become ``9``, letters ``a``, the rest stays). Every distinct mask is turned
+Digits of any script and full-width forms are folded to ASCII, then a text is reduced to its *shape mask* (digits become
+``9``, letters ``a``, the rest stays). Every distinct mask is turned
 into a parser once per worker; as a mask fixes the place of each field, a parser reads all texts of its mask at once,
 as columns of a character matrix. Local readings go through tables of zone transitions made from the IANA database.
 """
@@ -8,6 +9,8 @@ as columns of a character matrix. Local readings go through tables of zone trans
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
@@ -26,8 +29,9 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 WEEKDAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
 DAY_US = 86_400_000_000
-#: Years for which transitions are tabulated; before and after, the first or last offset of the table holds.
-TABLE_YEARS = (1900, 2100)
+#: Years for which transitions are tabulated. No zone had a standard time before; the last 28 of them hold every kind of
+#: year (its first weekday, leap or not) and stand for all later ones, as by then zones follow yearly rules only.
+TABLE_YEARS = (1840, 2140)
 
 _TIME = r"(?P<H>99?)(?::|時)(?P<M>99)(?:(?::|分)(?P<S>99)秒?|分)?(?:[.,](?P<f>9{1,9}))?(?: ?(?P<ap>aa)(?= |$))?"
 _ZONE = r"(?: *(?P<off>[+\-−]99(?::?99)?))?(?: *\[?(?P<name>a[a9_/+\-]*)\]?)?"
@@ -48,8 +52,23 @@ SHAPES = tuple(
 )
 
 
+@lru_cache(1)
+def _plain_forms() -> tuple[str, str]:
+    """Characters and what they fold to: full-width forms, odd spaces, and the decimal digits of all scripts."""
+    wide = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF01, 0xFF5F)}
+    white = {chr(c): " " for c in (0x3000, 0x00A0, 0x202F, *range(0x2000, 0x200B))}
+    digits = {chr(c): str(v) for c in range(0x80, sys.maxunicode + 1) if (v := unicodedata.decimal(chr(c), None)) is not None}
+    forms = wide | white | digits
+    return "".join(forms), "".join(forms.values())
+
+
+def folded(text: Column) -> Column:
+    """With ASCII for full-width forms, digits of other scripts, and spaces of other widths."""
+    return F.translate(text, *_plain_forms())
+
+
 def mask_of(text: Column) -> Column:
-    """The shape mask of a trimmed text."""
+    """The shape mask of a trimmed and folded text."""
     return F.translate(text, DIGITS + LETTERS, "9" * 10 + "a" * 52)
 
 
@@ -78,7 +97,15 @@ class Transitions:
     offsets: np.ndarray
 
     def to_utc(self, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """UTC of local readings, and which of them occur exactly once."""
+        """UTC of local readings, and which of them occur exactly once. Readings after the table go by a year alike in it."""
+        late = local >= _year_start(TABLE_YEARS[1]) - DAY_US
+        if late.any():
+            moved = _alike(local[late])
+            near, once = self.to_utc(np.concatenate([local[~late], local[late] - moved]))
+            utc, single = np.empty(len(local), np.int64), np.empty(len(local), bool)
+            n = int((~late).sum())
+            utc[~late], utc[late], single[~late], single[late] = near[:n], near[n:] + moved, once[:n], once[n:]
+            return utc, single
         before, after = self.offsets[:-1], self.offsets[1:]
         starts, ends = self.at + np.minimum(before, after), self.at + np.maximum(before, after)
         i = np.searchsorted(ends, local, side="right")
@@ -89,6 +116,22 @@ class Transitions:
         return local - self.offsets[i], once
 
 
+def _year_start(year: int) -> int:
+    return (datetime(year, 1, 1, tzinfo=timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+
+
+def _alike(local: np.ndarray) -> np.ndarray:
+    """How far (µs) to move readings back to the year of the same kind among the 28 before the table's last."""
+    starts = (local // DAY_US).astype("datetime64[D]").astype("datetime64[Y]").astype("datetime64[D]").astype(np.int64)
+    ends = ((local // DAY_US).astype("datetime64[D]").astype("datetime64[Y]") + 1).astype("datetime64[D]").astype(np.int64)
+    kinds = {}
+    for y in range(TABLE_YEARS[1] - 29, TABLE_YEARS[1] - 1):
+        day = _year_start(y) // DAY_US
+        kinds[day % 7, _year_start(y + 1) // DAY_US - day] = day
+    target = np.array([kinds[k] for k in zip((starts % 7).tolist(), (ends - starts).tolist())], np.int64)
+    return (starts - target) * DAY_US
+
+
 @lru_cache(None)
 def _zone_names() -> dict[str, str]:
     return {x.lower(): x for x in available_timezones()}
@@ -106,7 +149,7 @@ def transitions(name: str) -> Transitions | None:
     def offset(us: int) -> int:
         return (epoch + timedelta(microseconds=us)).astimezone(zone).utcoffset() // one
 
-    lo, hi = ((datetime(y, 1, 1, tzinfo=timezone.utc) - epoch) // one for y in TABLE_YEARS)
+    lo, hi = map(_year_start, TABLE_YEARS)
     at, offsets, step = [], [offset(lo)], 3 * DAY_US
     for t in range(lo, hi, step):
         if offset(t + step) != offsets[-1]:
@@ -239,7 +282,7 @@ def utc_micros(text: Column, offset: Column, zone: Column) -> Column:
 
     A zone in the text goes first (a numeric offset before a name), then ``offset`` (such as ``+02:00``), then ``zone``
     (an IANA name). Bare numbers are seconds (up to 11 digits, perhaps with a fraction), milliseconds (12 to 14),
-    microseconds (15 to 17) or nanoseconds since 1970 UTC. Null: null and blank texts, unknown shapes, dates and times
+    microseconds (15 to 17) or nanoseconds since 1970 UTC. Full-width forms and digits of any script count as ASCII. Null: null and blank texts, unknown shapes, dates and times
     that don't exist (second 60 too), no zone to be had, unknown zone names, and readings that the zone skipped or had
     twice. Further digits of a fraction than six are cut off. A malformed ``offset`` counts as absent.
     """
@@ -260,5 +303,5 @@ def utc_micros(text: Column, offset: Column, zone: Column) -> Column:
                 out[rows], known[rows] = _group(list(t[rows]), fields, east[rows], z[rows])
         return pd.Series(out, dtype="Int64").mask(~known)
 
-    bare = trimmed(text)
+    bare = trimmed(folded(text))
     return convert(bare, mask_of(bare), offset, zone)
