@@ -2,19 +2,19 @@
 
 import pytest
 
-from quarryglass.llm.sentences import own_abbreviations, sentence_spans, sentences
+from quarryglass.llm.sentences import Document, sentence_spans, sentences
 
 
 @pytest.mark.parametrize("word", ["Abt", "Univ", "Instit", "Departm"])
 @pytest.mark.parametrize("white", [" ", "\t", "\n", "\u00a0"])
 def test_from_the_document(word, white):
     text = f"The {word}.{white}of Jena lent it.{white}At the {word}.{white}Anna met us."
-    assert own_abbreviations(text) == {word.lower()}
-    assert [text[s:e] for s, e in sentence_spans(text, frozenset())] == [f"The {word}.{white}of Jena lent it.", f"At the {word}.{white}Anna met us."]
+    assert Document(text).inside == {word.lower()} and Document(text).kind(word.lower()) == "abbreviation"
+    assert [text[s:e] for s, e in sentence_spans(text)] == [f"The {word}.{white}of Jena lent it.", f"At the {word}.{white}Anna met us."]
 
 
 def test_words_without_a_stop_are_none():
-    assert own_abbreviations("The camera. of it. A camera is here.") == set()
+    assert Document("The camera. of it. A camera is here.").kind("camera") == ""
 
 
 def test_from_the_corpus(spark):
