@@ -11,11 +11,13 @@ case or spaces have rules of their own.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from functools import cached_property
 from types import MappingProxyType
+from unicodedata import category
 from zlib import crc32
 
 import numpy as np
@@ -84,17 +86,20 @@ SURE_ENDS = frozenset("。！？｡।॥؟۔‼⁇⁈⁉։።။។")
 WHITE = r"[\s﻿]"
 
 BREAK = regex.compile(r"(?:\r\n|[\n\r \x0b\x0c\x85])[^\S\n\r \x0b\x0c\x85]*﻿*(?:[^\S\n\r \x0b\x0c\x85]|﻿)*(?=[\n\r \x0b\x0c\x85])| ")
-MARKS = regex.compile(r"[.．!?…‥。！？｡।॥؟۔‼⁇⁈⁉։።။។]+|[“”«»()\[\]（）［］「」『』【】《》〈〉„\"]|(?<=\p{Thai})" + WHITE + r"+(?=\p{Thai})")
+ENDS_AND_PAIRS = r"[.．!?…‥。！？｡।॥؟۔‼⁇⁈⁉։።။។]+|[“”«»()\[\]（）［］「」『』【】《》〈〉„\"]"
+MARKS = re.compile(ENDS_AND_PAIRS)
+MARKS_THAI = regex.compile(ENDS_AND_PAIRS + r"|(?<=\p{Thai})" + WHITE + r"+(?=\p{Thai})")
+THAI = re.compile("[\u0e00-\u0e7f]")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 FILE = regex.compile(r"(?:[\w\-]*[\d_][\w\-]*\.\w{1,5}\b|/\w+/)")
 NUMBER = regex.compile(r"\d+(?:[.,:]\d+)*(?![\w\-]|\.\w)")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.’'\-][\p{L}\p{M}\p{N}]+)*")
 NO_WORD_BEFORE = r"(?<![\p{L}\p{M}\p{N}.])"
-#: Words, but no parts of names with dots; words with a stop after which neither a letter nor another stop stands.
+#: Words, but no parts of names with dots.
 WORDS = regex.compile(NO_WORD_BEFORE + r"\p{L}[\p{L}\p{M}]*+(?![\p{L}\p{M}\p{N}]|\.[\p{L}\p{N}])")
-STOPPED = regex.compile(NO_WORD_BEFORE + r"(\p{L}[\p{L}\p{M}]*+)\.(?![\p{L}\p{M}\p{N}.])")
+#: Stops after which neither a letter nor another stop stands; those of them before a lower-case word or a comma.
+STOP = re.compile(r"\.(?![\w.])")
 STOP_INSIDE = regex.compile(r"\.(?:\s+(?=\p{Ll})|(?=[,;]))")
-LAST_WORD = regex.compile(NO_WORD_BEFORE + r"\p{L}[\p{L}\p{M}]*+$")
 CAPITAL_INSIDE = regex.compile(r"(?<=\p{Ll},?[^\S\n]+)\p{Lu}[\p{L}\p{M}]*+")
 UPPER = regex.compile(r"[\p{Lu}\p{Lt}]")
 LOWER_WORD = regex.compile(r"(?<![\p{L}\p{M}])\p{Ll}[\p{L}\p{M}]*")
@@ -113,23 +118,30 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
 USES = ("bare", "inside", "digit", "final", "other")
 
 
-def counted_uses(text: str) -> tuple[dict[str, Counter], dict[str, int]]:
-    """How often each word, in lower case, occurs in each of the ``USES``, and a bitmap of the words that follow its stops.
+def last_word(text: str, e: int) -> str:
+    """The word of letters and marks that ends at ``e``, in lower case; '' if there is none or a number or a stop goes before it."""
+    a = e
+    while a and ((c := text[a - 1]).isalpha() or c > "\u02ff" and category(c)[0] == "M"):
+        a -= 1
+    return text[a:e].lower() if a < e and text[a].isalpha() and not (a and (text[a - 1] == "." or text[a - 1].isnumeric())) else ""
+
+
+def count_uses(text: str, uses: dict[str, Counter], followers: dict[str, int]) -> None:
+    """Add how often each word, in lower case, occurs in each of the ``USES``, and a bitmap of the words that follow its stops.
 
     Bare uses stand between white space; what else stands there is counted along, and no word has it for a name.
     Paragraphs without capitals say nothing on what follows a stop, nor do file names.
     """
-    uses = {u: Counter() for u in USES}
-    followers: dict[str, int] = {}
     place = _Places(text)
-    for m in STOPPED.finditer(text):
-        w = m[1].lower()
+    for m in STOP.finditer(text):
+        w = last_word(text, m.start())
+        if not w:
+            continue
         use, q = place.use(m.end())
         uses[use][w] += 1
         if use == "other" and (n := WORD.match(text, q)):
             followers[w] = followers.get(w, 0) | 1 << (crc32(n[0].encode("utf-8", "surrogatepass")) & 63)
-    uses["bare"] = Counter(text.lower().split())
-    return uses, followers
+    uses["bare"].update(text.lower().split())
 
 
 class _Places:
@@ -170,6 +182,11 @@ class Document:
         self.text, self.corpus, self.lists = text, corpus, lists
         self._known: dict[str, str] = {}
 
+    @cached_property
+    def thai(self) -> bool:
+        """Whether it holds letters of a script whose white space ends sentences."""
+        return THAI.search(self.text) is not None
+
     @cached_property
     def _lower(self) -> str:
         return self.text.lower()
@@ -179,8 +196,8 @@ class Document:
         """Words with a stop and then a lower-case word or a comma."""
         place, found = _Places(self.text), set()
         for m in STOP_INSIDE.finditer(self.text):
-            if (w := LAST_WORD.search(self.text, max(0, m.start() - 60), m.start())) and place.use(m.start() + 1)[0] == "inside":
-                found.add(w[0].lower())
+            if (w := last_word(self.text, m.start())) and place.use(m.start() + 1)[0] == "inside":
+                found.add(w)
         return frozenset(found)
 
     def bare(self, word: str) -> bool:
@@ -372,7 +389,7 @@ class _Paragraph:
     def ends(self) -> Iterator[int]:
         """Where sentences end within the paragraph."""
         t, b = self.t, self.b
-        marks = list(MARKS.finditer(t, self.a, b))
+        marks = list((MARKS_THAI if self.document.thai else MARKS).finditer(t, self.a, b))
         spans = _partners(t, self.a, b, [m for m in marks if len(m[0]) == 1 and (m[0] in PAIRS or m[0] in CLOSERS or m[0] == '"')])
         k = 0
         for m in marks:
@@ -473,11 +490,7 @@ def learned_words(documents: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for t in batch["text"]:
                 if isinstance(t, str):
-                    uses, followers = counted_uses(t)
-                    for u, n in uses.items():
-                        seen[u].update(n)
-                    for w, bits in followers.items():
-                        after[w] = after.get(w, 0) | bits
+                    count_uses(t, seen, after)
                     if len(seen["bare"]) > WORDS_HELD:
                         yield emit()
                         for c in (*seen.values(), after):
@@ -533,7 +546,7 @@ def sentences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     def own_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(i, w) for i, t in zip(batch["doc_id"], batch["text"]) for w in {m[1].lower() for m in STOPPED.finditer(t)}]
+            found = [(i, w) for i, t in zip(batch["doc_id"], batch["text"]) for w in {last_word(t, m.start()) for m in STOP.finditer(t)} if w]
             if found:
                 yield pd.DataFrame(found, columns=["doc_id", "word"])
 
