@@ -1,9 +1,10 @@
 """Evaluation passages inside a training corpus.
 
 Texts and passages are folded (NFKC, lower case, only letters, marks and digits). Of the n-grams of every passage the
-rarest in the corpus is taken as a seed from each window that a shared run must cover, so that no run is missed. Seeds
-join the texts to the passages through a rolling hash; around them the shared run is measured exactly, and a
-Smith-Waterman alignment scores how much of the passage a text holds, edits included.
+rarest in the corpus is taken as a seed from each window of places. Seeds join the texts to the passages through a rolling
+hash. For shared runs the seeds are long and every window that a run must cover has one, so that no run is missed; runs are
+measured exactly along the seeds' diagonals. For edited copies the seeds are short; two of them on near diagonals make a
+candidate, and a Smith-Waterman alignment of the passage with the text around them scores it.
 """
 
 from __future__ import annotations
@@ -20,8 +21,14 @@ from pyspark.sql import functions as F
 
 #: Characters of a shared run that make a leak, and of the seeds. A run holds RUN - SEED + 1 places for a seed.
 RUN, SEED = 48, 24
+#: Characters of the short seeds of edited copies, places among which the rarest is taken, and how far the diagonals of two
+#: seeds of a copy may lie apart (characters inserted or lost between them).
+SHORT, SPREAD, DRIFT = 8, 16, 8
+#: Short seeds that occur no more often than this, or than once in so many texts, are equally rare: of a passage whose
+#: edited copies are in the corpus, those that the edits destroyed would be the rarest.
+RARE, RARE_IN = 16, 100_000
 #: Characters of passages that one pass over the corpus looks for; more are taken in blocks of passes.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 #: Characters hashed at once.
 CHUNK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -71,6 +78,7 @@ def _pow(k: int) -> np.uint64:
 class Grams:
     """Sorted hashes with a bitmap before them, and for each hash the places (passage, position) that have it."""
 
+    length: int
     hashes: np.ndarray
     starts: np.ndarray
     passage: np.ndarray
@@ -78,58 +86,63 @@ class Grams:
     bitmap: np.ndarray
 
     @classmethod
-    def of(cls, hashes: np.ndarray, passage: np.ndarray, position: np.ndarray) -> Grams:
+    def of(cls, length: int, hashes: np.ndarray, passage: np.ndarray, position: np.ndarray) -> Grams:
         order = np.argsort(hashes, kind="stable")
         hashes, passage, position = hashes[order], passage[order], position[order]
         distinct, starts = np.unique(hashes, return_index=True)
         bitmap = np.zeros(1 << _BITS, bool)
         bitmap[(distinct >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        return cls(distinct, np.append(starts, len(hashes)), passage, position, bitmap)
+        return cls(length, distinct, np.append(starts, len(hashes)), passage, position, bitmap)
 
     def found(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions in ``codes`` whose window is one of the grams, with the gram's number; in chunks."""
         if not len(self.hashes):
             return
-        for a in range(0, max(0, len(codes) - SEED + 1), CHUNK):
-            h = rolling(codes[a : a + CHUNK + SEED - 1], SEED)
+        for a in range(0, max(0, len(codes) - self.length + 1), CHUNK):
+            h = rolling(codes[a : a + CHUNK + self.length - 1], self.length)
             at = np.flatnonzero(self.bitmap[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
             k = np.searchsorted(self.hashes, h[at])
             k[k == len(self.hashes)] = 0
             ok = self.hashes[k] == h[at]
             yield at[ok] + a, k[ok]
 
+    def places(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(passage, diagonal, position)`` of the grams in ``codes``; the diagonal is the place in the text less the position.
 
-def all_grams(passages: list[np.ndarray]) -> Grams:
+        One place of each gram at a time, so that a passage that repeats itself needs no more memory than the text.
+        """
+        for at, gram in self.found(codes):
+            n = self.starts[gram + 1] - self.starts[gram]
+            for j in range(int(n.max(initial=0))):
+                k = self.starts[gram[n > j]] + j
+                yield self.passage[k], at[n > j] - self.position[k], self.position[k]
+
+
+def all_grams(passages: list[np.ndarray], length: int = SEED) -> Grams:
     """The grams of passages that are long enough to share a run."""
-    parts = [(h, np.full(len(h), i), np.arange(len(h))) for i, p in enumerate(passages) if len(p) >= RUN for h in [rolling(p, SEED)]]
+    parts = [(h, np.full(len(h), i), np.arange(len(h))) for i, p in enumerate(passages) if len(p) >= RUN for h in [rolling(p, length)]]
     cat = lambda k, kind: np.concatenate([x[k] for x in parts]).astype(kind) if parts else np.empty(0, kind)
-    return Grams.of(cat(0, np.uint64), cat(1, np.int64), cat(2, np.int64))
+    return Grams.of(length, cat(0, np.uint64), cat(1, np.int64), cat(2, np.int64))
 
 
-def rare_seeds(passages: list[np.ndarray], grams: Grams, counts: np.ndarray) -> Grams:
-    """For every window of ``RUN`` characters of a passage its gram with the fewest occurrences in the corpus.
+def rare_seeds(passages: list[np.ndarray], grams: Grams, counts: np.ndarray, span: int = RUN - SEED + 1) -> Grams:
+    """From every ``span`` neighbouring places of a passage the gram with the fewest occurrences in the corpus.
 
-    Of equally rare ones the one with the smaller hash, so that neighbouring windows mostly agree on it.
+    With the span given, one in every window of ``RUN`` characters. Of equally rare ones the one with the smaller hash, so
+    that neighbouring windows mostly agree on it.
     """
-    span = RUN - SEED + 1
-    chosen: list[tuple[int, int]] = []
+    parts = []
     for i, p in enumerate(passages):
         if len(p) < RUN:
             continue
-        h = rolling(p, SEED)
+        h = rolling(p, grams.length)
         rank = np.empty(len(h), np.int64)
         rank[np.lexsort((h, counts[np.searchsorted(grams.hashes, h)]))] = np.arange(len(h))
-        windows = np.lib.stride_tricks.sliding_window_view(rank, span)
-        chosen += [(i, int(q)) for q in np.unique(windows.argmin(axis=1) + np.arange(len(windows)))]
-    h = np.array([rolling(passages[i][q : q + SEED], SEED)[0] for i, q in chosen], np.uint64)
-    return Grams.of(h, np.array([i for i, _ in chosen], np.int64), np.array([q for _, q in chosen], np.int64))
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """The length of the common beginning."""
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
+        windows = np.lib.stride_tricks.sliding_window_view(rank, min(span, len(rank)))
+        q = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+        parts.append((h[q], np.full(len(q), i), q))
+    cat = lambda k, kind: np.concatenate([x[k] for x in parts]).astype(kind) if parts else np.empty(0, kind)
+    return Grams.of(grams.length, cat(0, np.uint64), cat(1, np.int64), cat(2, np.int64))
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> int:
@@ -152,41 +165,72 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
-def matches(codes: np.ndarray, passages: list[np.ndarray], seeds: Grams) -> dict[int, tuple[int, int, int]]:
-    """Per passage with a seed in the text: its longest shared run, where that starts in the text and in the passage."""
-    best: dict[int, tuple[int, int, int]] = {}
-    covered: dict[tuple[int, int], int] = {}
-    for at, gram in seeds.found(codes):
-        for p, g in zip(at.tolist(), gram.tolist()):
-            for j in range(seeds.starts[g], seeds.starts[g + 1]):
-                i, q = int(seeds.passage[j]), int(seeds.position[j])
-                if covered.get((i, p - q), -1) > p:
-                    continue
-                own = passages[i]
-                reach = min(p, q)
-                left = _common(codes[p - reach : p][::-1], own[q - reach : q][::-1])
-                right = _common(codes[p : p + len(own) - q], own[q:])
-                covered[i, p - q] = p + right
-                if right >= SEED and left + right > best.get(i, (0, 0, 0))[0]:
-                    best[i] = (left + right, p - left, q - left)
+def longest_run(a: np.ndarray, b: np.ndarray) -> int:
+    """The longest stretch in which two code arrays agree at the same places."""
+    n = min(len(a), len(b))
+    apart = np.flatnonzero(a[:n] != b[:n])
+    return int(np.diff(apart, prepend=-1, append=n).max()) - 1 if n else 0
+
+
+def shared_runs(codes: np.ndarray, passages: list[np.ndarray], seeds: Grams) -> dict[int, int]:
+    """Per passage with a seed in the text: the longest run that both share on a diagonal of a seed."""
+    met: set[tuple[int, int]] = set()
+    for passage, diagonal, _ in seeds.places(codes):
+        met.update(zip(passage.tolist(), diagonal.tolist()))
+    best: dict[int, int] = {}
+    for i, d in met:
+        run = longest_run(codes[max(d, 0) : max(d + len(passages[i]), 0)], passages[i][max(-d, 0) :])
+        if run >= SEED and run > best.get(i, 0):
+            best[i] = run
     return best
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, item_id, longest_run, aligned)``: texts and the evaluation items that they share a seed with.
+def near_diagonals(codes: np.ndarray, passages: list[np.ndarray], seeds: Grams) -> Iterator[tuple[int, int, int]]:
+    """``(passage, start, end)``: stretches of the text around two different seeds whose diagonals are at most ``DRIFT`` apart.
 
-    ``longest_run``: characters of the longest folded run that goes through a seed; every shared run of at least ``RUN``
-    characters holds one, so the pairs with ``longest_run >= RUN`` are exactly those that share one. ``aligned``: the
-    Smith-Waterman score of the passage in its neighbourhood in the text, over that of a perfect copy.
+    As far as the passage goes to both sides and a quarter more; stretches that overlap are one.
+    """
+    parts = list(seeds.places(codes))
+    if not parts:
+        return
+    passage, diagonal, position = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((position, diagonal, passage))
+    passage, diagonal, position = passage[order], diagonal[order], position[order]
+    near = np.flatnonzero((passage[1:] == passage[:-1]) & (diagonal[1:] - diagonal[:-1] <= DRIFT) & (position[1:] != position[:-1]))
+    open_: tuple[int, int, int] | None = None
+    for i, d, e in zip(passage[near].tolist(), diagonal[near].tolist(), diagonal[near + 1].tolist()):
+        n = len(passages[i])
+        start, end = max(0, d - n // 4), e + n + n // 4
+        if open_ and open_[0] == i and start <= open_[2]:
+            open_ = (i, open_[1], end)
+        else:
+            if open_:
+                yield open_
+            open_ = (i, start, end)
+    if open_:
+        yield open_
+
+
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", edited: bool = False) -> DataFrame:
+    """``(doc_id, item_id, longest_run)``: texts and the evaluation items that they share a seed with.
+
+    ``longest_run``: characters of the longest folded run on a diagonal of a seed; every shared run of at least ``RUN``
+    characters holds one, so the pairs with ``longest_run >= RUN`` are exactly those that share one. Pairs without a run of
+    ``SEED`` characters have 0.
+
+    With ``edited`` also ``aligned``: the Smith-Waterman score of the passage over that of a perfect copy, in the stretches of
+    the text around two short seeds on near diagonals; 1 for a whole copy, null where there is no such stretch. A copy is
+    found if at least two of its seeds survive; the share that does is measured in the tests.
 
     Null texts, passages and ids give nothing, passages of fewer than ``RUN`` folded characters can't leak, repeated rows
     give one result each pair. Whole texts are read. The items are a stated query set: they are held by every task in
-    blocks of at most ``BLOCK_CHARS`` characters, one pass over the corpus for each block and one for its counts.
+    blocks of at most ``BLOCK_CHARS`` characters, one pass over the corpus for each block and one for its counts, of which at
+    most two a character come to the driver.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     rows = items.select("item_id", "passage").where("item_id IS NOT NULL AND passage IS NOT NULL").distinct()
-    out = spark.createDataFrame([], "doc_id bigint, item_id bigint, longest_run int, aligned double")
+    out = spark.createDataFrame([], FOUND)
     ids: list[int] = []
     own: list[np.ndarray] = []
     size = 0
@@ -195,46 +239,61 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         own.append(folded(r.passage))
         size += len(own[-1])
         if size >= BLOCK_CHARS:
-            out = out.union(_block(docs, ids, own))
+            out = out.union(_block(docs, ids, own, edited))
             ids, own, size = [], [], 0
-    out = out.union(_block(docs, ids, own)) if ids else out
-    return out.groupBy("doc_id", "item_id").agg(F.max("longest_run").alias("longest_run"), F.max("aligned").alias("aligned"))
+    out = out.union(_block(docs, ids, own, edited)) if ids else out
+    return out.groupBy("doc_id", "item_id").agg(F.max("longest_run").alias("longest_run"), *[F.max("aligned").alias("aligned")] * edited)
+
 
+FOUND = "doc_id bigint, item_id bigint, longest_run int, aligned double"
 
-def _block(docs: DataFrame, ids: list[int], passages: list[np.ndarray]) -> DataFrame:
+
+def _block(docs: DataFrame, ids: list[int], passages: list[np.ndarray], edited: bool) -> DataFrame:
     spark = docs.sparkSession
-    grams = all_grams(passages)
+    grams = [all_grams(passages)] + [all_grams(passages, SHORT)] * edited
     sent = spark.sparkContext.broadcast(grams)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(len(sent.value.hashes), np.int64)
+        seen = [np.zeros(len(g.hashes), np.int64) for g in sent.value]
+        texts = 0
         for batch in batches:
+            texts += len(batch)
             for codes in _joined(batch["text"]):
-                for _, k in sent.value.found(codes):
-                    seen += np.bincount(k, minlength=len(seen))
-        k = np.flatnonzero(seen)
-        yield pd.DataFrame({"gram": k, "n": seen[k]})
-
-    counts = np.zeros(len(grams.hashes), np.int64)
-    for r in docs.select("text").mapInPandas(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r.gram] = r.n
-    known = spark.sparkContext.broadcast((ids, passages, rare_seeds(passages, grams, counts)))
+                for g, n in zip(sent.value, seen):
+                    for _, k in g.found(codes):
+                        n += np.bincount(k, minlength=len(n))
+        for kind, n in enumerate(seen):
+            k = np.flatnonzero(n)
+            yield pd.DataFrame({"kind": kind, "gram": k, "n": n[k]})
+        yield pd.DataFrame({"kind": [-1], "gram": [0], "n": [texts]})
+
+    counted = docs.select("text").mapInPandas(count, "kind int, gram bigint, n bigint").groupBy("kind", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = [np.zeros(len(g.hashes), np.int64) for g in grams]
+    for kind, c in counted[counted["kind"] >= 0].groupby("kind"):
+        counts[kind][c["gram"]] = c["n"]
+    texts = counted["n"][counted["kind"] < 0].sum()
+    counts[1:] = [np.maximum(n, max(RARE, texts // RARE_IN)) for n in counts[1:]]
+    seeds = [rare_seeds(passages, g, n, span) for g, n, span in zip(grams, counts, (RUN - SEED + 1, SPREAD))]
+    known = spark.sparkContext.broadcast((ids, passages, seeds))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, own, seeds = known.value
+        names, own, (long, *short) = known.value
         for batch in batches:
             out = []
             for doc, t in zip(batch["doc_id"], batch["text"]):
                 codes = folded(t)
-                for i, (run, p, q) in matches(codes, own, seeds).items():
-                    n = len(own[i])
-                    near = codes[max(0, p - q - n // 4) : p - q + n + n // 4]
-                    # a run over the whole passage is a perfect alignment
-                    out.append((doc, names[i], run, 1.0 if run == n else smith_waterman(own[i], near) / (MATCH * n)))
+                runs = shared_runs(codes, own, long)
+                # a run over the whole passage is a perfect alignment
+                aligned = {i: 1.0 for i, run in runs.items() if run == len(own[i])}
+                for s in short:
+                    for i, a, b in near_diagonals(codes, own, s):
+                        if aligned.get(i) != 1.0:
+                            aligned[i] = max(aligned.get(i, 0.0), smith_waterman(own[i], codes[a:b]) / (MATCH * len(own[i])))
+                out += [(doc, names[i], runs.get(i, 0), aligned.get(i)) for i in runs.keys() | (aligned.keys() if short else set())]
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "longest_run", "aligned"])
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "longest_run", "aligned"]).astype({"aligned": float})
 
-    return docs.mapInPandas(find, "doc_id bigint, item_id bigint, longest_run int, aligned double")
+    return docs.mapInPandas(find, FOUND)
 
 
 def _joined(texts: pd.Series) -> Iterator[np.ndarray]:

@@ -28,12 +28,12 @@ def register(c: Catalog) -> None:
     def leaked(spark, d):
         return found(spark, d).where(F.col("longest_run") >= RUN).select("doc_id", "item_id")
 
-    def found(spark, d):
-        return leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_item", "item_id", "passage"))
+    def found(spark, d, edited=False):
+        return leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_item", "item_id", "passage"), edited=edited)
 
     @c.query("p7_scored")
     def scored(spark, d):
-        kept = found(spark, d).where((F.col("longest_run") >= RUN) | (F.col("aligned") >= ALIGNED))
+        kept = found(spark, d, edited=True).where((F.col("longest_run") >= RUN) | (F.col("aligned") >= ALIGNED))
         return kept.withColumn("aligned", F.round("aligned", 4))
 
     @c.query("p8_found")

@@ -67,7 +67,7 @@ def test_edited_copies_are_scored(spark):
     p = words(rnd, 60)
     edited = p[:150] + "zzz" + p[153:]
     d = spark.createDataFrame([(1, p, ""), (2, edited, ""), (3, words(rnd, 60), "")], DOC)
-    got = {r.doc_id: r.aligned for r in K.leaks(d, spark.createDataFrame([(1, p, 0)], ITEM)).collect()}
+    got = {r.doc_id: r.aligned for r in K.leaks(d, spark.createDataFrame([(1, p, 0)], ITEM), edited=True).collect()}
     assert got[1] == pytest.approx(1) and 0.9 < got[2] < 1 and 3 not in got
 
 
@@ -90,6 +90,59 @@ def test_joined_keeps_texts_apart():
     assert len(parts) == 1 and parts[0].tolist() == [97, 98, 0, 99, 100, 0]
 
 
+def edit(rnd, t, rate):
+    out = []
+    for c in t:
+        x = rnd.random()
+        if x < rate / 3:
+            continue
+        out.append(rnd.choice(t) if x < 2 * rate / 3 else c)
+        if 2 * rate / 3 <= x < rate:
+            out.append(rnd.choice(t))
+    return "".join(out)
+
+
+def test_recall_on_edited_copies(spark):
+    """Characters lost, changed and inserted at random, a third each, in passages of five scripts of 160 to 400 characters."""
+    rnd = random.Random(7)
+    scripts = [string.ascii_lowercase, "абвгдежзиклмнопрстуфхцчшыя", "اбتثجحخدذرزسشصضطعغفقكلمنهوي", "".join(map(chr, range(0x4E00, 0x4E00 + 400))), "".join(map(chr, range(0xE01, 0xE2F)))]
+    items = [(k, " ".join("".join(rnd.choices(scripts[k % 5], k=rnd.randrange(3, 9))) for _ in range(rnd.randrange(30, 70)))) for k in range(60)]
+    docs, want = [], {}
+    for rate in (0.05, 0.10, 0.15):
+        for k, p in items:
+            n = len(docs)
+            docs.append((n, words(rnd, 30) + " " + edit(rnd, p, rate) + " " + words(rnd, 30), ""))
+            want[n] = (rate, k)
+    docs += [(n, words(rnd, 300), "") for n in range(len(docs), len(docs) + 200)]
+    d, i = spark.createDataFrame(docs, DOC), spark.createDataFrame([(k, p, 0) for k, p in items], ITEM)
+    got = {(r.doc_id, r.item_id) for r in K.leaks(d, i, edited=True).where("aligned >= 0.5").collect()}
+    for rate in (0.05, 0.10, 0.15):
+        pairs = {(n, k) for n, (r, k) in want.items() if r == rate}
+        assert len(got & pairs) >= 0.9 * len(pairs), (rate, len(got & pairs), len(pairs))
+    assert got <= {(n, k) for n, (_, k) in want.items()}
+
+
+def test_characters_changed_at_even_steps(spark):
+    rnd = random.Random(3)
+    items = [(k, words(rnd, 60)) for k in range(20)]
+    for step in (24, 20, 12):
+        docs = [(k, "".join("q" if n % step == step - 1 else c for n, c in enumerate(p)), "") for k, p in items]
+        got = K.leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame([(k, p, 0) for k, p in items], ITEM), edited=True).where("aligned >= 0.5")
+        assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(k, k) for k in range(20)], step
+
+
+def test_passages_that_repeat_themselves():
+    own = [K.folded("a" * 300), K.folded("ab" * 100)]
+    seeds = K.rare_seeds(own, g := K.all_grams(own), np.zeros(len(g.hashes), np.int64))
+    assert K.shared_runs(K.folded("a" * 5000 + "b"), own, seeds) == {0: 300}
+    assert K.shared_runs(K.folded("xyz" + "ba" * 60), own, seeds) == {1: 120}
+
+
+def test_longest_run():
+    c = K._codes
+    assert K.longest_run(c("abcd"), c("abxd")) == 2 and K.longest_run(c("abcd"), c("abcdef")) == 4 and K.longest_run(c(""), c("a")) == 0 and K.longest_run(c("xbcx"), c("abcd")) == 2
+
+
 def test_empty(spark):
     d, i = spark.createDataFrame([], DOC), spark.createDataFrame([], ITEM)
-    assert K.leaks(d, i).count() == 0 and K.leaks(d, spark.createDataFrame([(1, "x" * 60, 0)], ITEM)).count() == 0
+    assert K.leaks(d, i).count() == 0 and K.leaks(d, i, edited=True).columns == ["doc_id", "item_id", "longest_run", "aligned"] and K.leaks(d, spark.createDataFrame([(1, "x" * 60, 0)], ITEM)).count() == 0
