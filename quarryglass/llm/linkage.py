@@ -1,27 +1,44 @@
 """Duplicates of new batches against all that was accepted before.
 
-Incremental record linkage. The history is kept as persisted tables: the accepted records, an index of blocking keys of
-their distinct perceptual hashes, and a log of cluster representatives. A new batch probes these tables with its own keys
-only, its links are scored with learned weights, and only the clusters that a link touches get new representatives.
+Incremental record linkage. The history lives in a folder that any later session can open: the accepted records under
+their blocking keys, the links, a log of steps, and the union-find parents of clusters. A new batch reads only the
+partitions that its own keys fall into, its links are scored with weights learned from all links so far, links of too
+little weight are rejected, and only the clusters that a link touches get new representatives.
+
+The 64 bits of a perceptual hash are cut into three bands. Two hashes that differ in at most 4 bits differ in at most one
+bit of some band, so a record is filed under its three bands and a new hash probes each band and its neighbours at one bit.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
+from itertools import product
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarryglass.functions.keys import digest, hamming, hash64
 from quarryglass.operators.components import connected_components
-from quarryglass.operators.similar import block_keys
 from quarryglass.plans.cut import Scratch
 from quarryglass.plans.salt import salted_join
 
 RECORD = "file_id bigint, digest string, bits bigint, look bigint"
+LINK = "new bigint, old bigint, same_digest boolean, bits_apart int, look_apart int"
+PARENT = "node bigint, root bigint"
+#: Bits in which perceptual hashes of linked files may differ; with bands that are probed at one bit, at most 5.
+DISTANCE = 4
+#: First bit and width of the bands.
+BANDS = ((0, 22), (22, 21), (43, 21))
+#: The kind of key under which every record is filed: its digest.
+WHOLE = len(BANDS)
+#: Weight (bits) from which a link is accepted: agreement a million times as likely for duplicates as by chance.
+ACCEPT = 20.0
 
 
 def cached_records(file_cache: DataFrame, content: DataFrame) -> DataFrame:
@@ -45,137 +62,354 @@ def _with_looks(files: DataFrame, content: DataFrame) -> DataFrame:
     return files.join(looks, "file_id", "left")
 
 
+def _band(bits: Column, band: int) -> Column:
+    shift, width = BANDS[band]
+    return F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _digest_key(digest: Column) -> Column:
+    """Below 0, so that it is none of a band's."""
+    return F.xxhash64(digest).bitwiseOR(F.lit(-(1 << 63)))
+
+
+def _band_key(bits: Column, band: int) -> Column:
+    return _band(bits, band).bitwiseOR(F.lit(band << 32))
+
+
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def _first_band(a: Column, b: Column, band: int) -> Column:
+    """Whether no earlier band shows the pair, so that each pair comes out once."""
+    ok = F.lit(True)
+    for k in range(band):
+        ok = ok & (F.bit_count(_band(a, k).bitwiseXOR(_band(b, k))) > 1)
+    return ok
+
+
+def _observed(seen: Observation) -> dict[str, int]:
+    """What was observed; nothing of a plan that was empty from the outset, as its metrics went with it."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
+
+
+class Store:
+    """Tables and a log of steps below ``root``. A step counts once its entry is written, after all of its tables."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _path(self, name: str):
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names(self, folder: str) -> list[str]:
+        p, fs = self._path(folder)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def load(self, name: str) -> dict:
+        p, fs = self._path(name)
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def save(self, name: str, value: dict) -> None:
+        """Written aside and renamed, so that nobody reads half of it."""
+        p, fs = self._path(name)
+        aside = p.suffix(".part")
+        stream = fs.create(aside, True)
+        stream.write(bytearray(json.dumps(value).encode()))
+        stream.close()
+        if not fs.rename(aside, p):
+            raise FileExistsError(f"{name} was written by another session")
+
+    def delete(self, name: str) -> None:
+        p, fs = self._path(name)
+        fs.delete(p, True)
+
+    def exists(self, name: str) -> bool:
+        p, fs = self._path(name)
+        return fs.exists(p)
+
+
 @dataclass
 class Linker:
-    """The persisted state of a linkage, and the steps on it.
+    """The state of a linkage, and the steps on it; ``Linker.open(spark, root)`` takes up what earlier sessions left.
 
-    ``distance``: bits in which perceptual hashes of linked files may differ. ``bands``: see ``block_masks``; with
-    6 bands at a distance of 4, an index row per value and pair of bands (15), each of about 21 bits. ``broadcast_rows``:
-    of a batch that is sent to the history instead of shuffling it.
+    ``part_rows``: records for which a compaction makes one partition of each kind of key. ``probe_bytes``: size of the
+    probes of a batch (67 for each hash, ``PROBE_BYTES`` each) and of the batch itself up to which they are sent to the
+    history, which is then read where it lies; a larger batch is joined by a shuffle with hot keys salted. ``clusters``:
+    whether steps maintain clusters. One session writes at a time.
     """
 
     spark: SparkSession
-    distance: int = 4
-    bands: int = 6
-    batch_rows_per_task: int = 20_000
-    broadcast_rows: int = 50_000
+    root: str
+    part_rows: int = 1_000_000
+    probe_bytes: int = 128 << 20
+    rows_per_task: int = 20_000
+    clusters: bool = True
+    version: int = 0
+    parts: int = 1
+    log: list[dict] = field(default_factory=list)
+
+    PROBE_BYTES = 48
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, **options) -> Linker:
+        out = cls(spark, root, **options)
+        versions = [int(n[2:]) for n in out._store.names("") if n.startswith("v=") and out._store.exists(f"{n}/log/000000.json")]
+        if versions:
+            out.version = max(versions)
+        folder = f"v={out.version}/log"
+        out.log = [out._store.load(f"{folder}/{n}") for n in out._store.names(folder) if n.endswith(".json")]
+        out.parts = out.log[0]["parts"] if out.log else out.parts
+        return out
 
-    def __post_init__(self) -> None:
-        self.scratch = Scratch(self.spark, "linkage")
-        self.generations: list[int] = []
+    @property
+    def _store(self) -> Store:
+        return Store(self.spark, self.root)
+
+    def _name(self, table: str) -> str:
+        return f"{self.root}/v={self.version}/{table}"
+
+    def _read(self, table: str, schema: str, upto: int | None = None) -> DataFrame:
+        steps = [e["step"] for e in self.log if upto is None or e["step"] < upto]
+        if not steps:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._name(table)).where(F.col("step").isin(steps))
 
-    def _history(self, name: str, schema: str) -> DataFrame:
-        paths = [self.scratch.path(f"{name}/g{g}") for g in self.generations]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def _filed(self, upto: int | None = None) -> DataFrame:
+        return self._read("filed", f"step int, kind int, part int, {RECORD}", upto)
 
     @property
     def members(self) -> DataFrame:
         """All accepted records."""
-        return self._history("members", RECORD)
-
-    @property
-    def index(self) -> DataFrame:
-        """``(mask_no, key, value)`` of all accepted distinct perceptual hashes."""
-        return self._history("index", "mask_no int, key bigint, value bigint")
+        return self._filed().where(F.col("kind") == WHOLE).select("file_id", "digest", "bits", "look")
 
     @property
     def links(self) -> DataFrame:
-        """``(new, old, same_digest, bits_apart, look_apart)`` of all steps so far; distances are null where a hash is."""
-        return self._history("links", "new bigint, old bigint, same_digest boolean, bits_apart int, look_apart int")
-
-    def _keys(self, values: DataFrame) -> DataFrame:
-        return block_keys(values, self.distance, self.bands)
+        """``(step, new, old, same_digest, bits_apart, look_apart)`` of all steps; distances are null where a hash is."""
+        return self._read("links", f"step int, {LINK}")
 
-    def near_values(self, batch: DataFrame, rows: int | None = None) -> DataFrame:
-        """``(v_new, v_old)``: perceptual hashes of the batch and of the history within ``distance``, each pair once.
-
-        A batch of at most ``broadcast_rows`` rows sends its keys to the index, which is read where it lies. A larger one is
-        joined by a shuffle, in which a blocking key that many values of the batch share is split over tasks.
+    @property
+    def counted(self) -> dict[tuple[str, ...], int]:
+        """How often each pattern of levels occurred among all links."""
+        out: dict[tuple[str, ...], int] = {}
+        for e in self.log:
+            for k, n in e["patterns"].items():
+                out[tuple(k.split("|"))] = out.get(tuple(k.split("|")), 0) + n
+        return out
+
+    def weights(self) -> dict[str, dict[str, float]]:
+        """Learned from the patterns of all links so far."""
+        return learned_weights(sorted(self.counted.items()))[0]
+
+    def accepted(self, links: DataFrame | None = None) -> DataFrame:
+        """Links whose weight is at least ``ACCEPT``, with their levels and ``weight``."""
+        return weighed(self.links if links is None else links, self.weights()).where(F.col("weight") >= ACCEPT)
+
+    def _file(self, records: DataFrame) -> DataFrame:
+        """Each record under each of its keys: ``kind`` and the partition of the key."""
+        keys = [F.struct(F.lit(k).alias("kind"), _part(_band_key(F.col("bits"), k), self.parts).alias("part"), F.col("bits").isNotNull().alias("ok")) for k in range(len(BANDS))]
+        whole = F.when(F.col("digest").isNotNull(), _part(_digest_key(F.col("digest")), self.parts)).otherwise(_part(F.col("file_id"), self.parts))
+        keys.append(F.struct(F.lit(WHOLE).alias("kind"), whole.alias("part"), F.lit(True).alias("ok")))
+        return records.select("file_id", "digest", "bits", "look", F.explode(F.array(*keys)).alias("k")).where("k.ok").select("file_id", "digest", "bits", "look", "k.kind", "k.part")
+
+    def probes(self, batch: DataFrame) -> DataFrame:
+        """``(kind, key, bits, digest)``: the keys under which records alike to some of the batch are filed.
+
+        For each distinct hash its bands and their neighbours at one bit, for each distinct digest its key.
         """
-        values = batch.where("bits IS NOT NULL").select(F.col("bits").alias("value")).distinct()
-        own = self._keys(values).withColumnRenamed("value", "v_new")
-        index = self.index.withColumnRenamed("value", "v_old")
-        if rows is not None and rows <= self.broadcast_rows:
-            met = index.join(F.broadcast(own), ["mask_no", "key"])
-        else:
-            met = salted_join(own, index, ["mask_no", "key"], "v_new", self.batch_rows_per_task)
-        return met.where(hamming(F.col("v_new"), F.col("v_old")) <= self.distance).select("v_new", "v_old").distinct()
-
-    def probe(self, batch: DataFrame, near: DataFrame, near_rows: int, rows: int | None = None) -> DataFrame:
-        """Links of the batch's records to the history: an equal digest, or perceptual hashes that are ``near``.
-
-        Equal hashes were joined once as a value; their files follow here. One row per pair of files, no pair within the
-        batch. Near values and the batch are sent to the history where their known rows are at most ``broadcast_rows``.
+        values = batch.where("bits IS NOT NULL").select("bits").distinct()
+        flips = lambda w: ", ".join(["0L", *(f"{1 << j}L" for j in range(w))])
+        bands = (f"transform(array({flips(w)}), f -> struct({k} AS kind, (((shiftrightunsigned(bits, {a}) & {(1 << w) - 1}L) ^ f) | {k << 32}L) AS key))" for k, (a, w) in enumerate(BANDS))
+        near = F.expr(f"flatten(array({', '.join(bands)}))")
+        digests = batch.where("digest IS NOT NULL").select("digest").distinct()
+        own = values.select(F.explode(near).alias("p"), "bits").select("p.kind", "p.key", F.col("bits").alias("p_bits"), F.lit(None).cast("string").alias("p_digest"))
+        return own.union(digests.select(F.lit(WHOLE), _digest_key(F.col("digest")), F.lit(None).cast("bigint"), "digest"))
+
+    def candidates(self, probes: DataFrame, step: int) -> DataFrame:
+        """``(kind, key, old, …)``: records of the history with the keys under which probes may find them.
+
+        Where the probes fall into so few partitions that all kinds of keys together have fewer rows there than the whole
+        history, those partitions are read; else every record once, and its keys are made on the way.
         """
-        new = batch.select(F.col("file_id").alias("new"), F.col("digest").alias("_d"), F.col("bits").alias("_b"), F.col("look").alias("_l"))
-        was = self.members.select(F.col("file_id").alias("old"), F.col("digest").alias("_od"), F.col("bits").alias("_ob"), F.col("look").alias("_ol"))
-        new = F.broadcast(new) if rows is not None and rows <= self.broadcast_rows else new
-        near = F.broadcast(near) if near_rows <= self.broadcast_rows else near
-        alike = was.join(near, F.col("v_old") == F.col("_ob")).join(new, F.col("v_new") == F.col("_b")).drop("v_new", "v_old")
-        exact = was.join(new, F.col("_d") == F.col("_od"))
-        both = alike.unionByName(exact).where("new <> old")
+        history = self._filed(step)
+        cols = [F.col("file_id").alias("old"), F.col("digest").alias("_od"), F.col("bits").alias("_ob"), F.col("look").alias("_ol")]
+        key = lambda k: _digest_key(F.col("digest")) if k == WHOLE else _band_key(F.col("bits"), k)
+        if self.parts > 1:
+            met = probes.select("kind", _part(F.col("key"), self.parts).alias("part")).distinct().collect()  # at most 4 x parts
+            if len(met) < self.parts:
+                out = None
+                for k in range(WHOLE + 1):
+                    at = [r.part for r in met if r.kind == k]
+                    rows = history.where((F.col("kind") == k) & F.col("part").isin(at)).select(F.lit(k).alias("kind"), key(k).alias("key"), *cols).where("key IS NOT NULL")
+                    out = rows if out is None else out.union(rows)
+                return out
+        keys = F.array(*(F.struct(F.lit(k).alias("kind"), key(k).alias("key")) for k in range(WHOLE + 1)))
+        return history.where(F.col("kind") == WHOLE).select(F.explode(keys).alias("k"), *cols).select("k.kind", "k.key", "old", "_od", "_ob", "_ol").where("key IS NOT NULL")
+
+    def probe(self, batch: DataFrame, rows: int, step: int) -> DataFrame:
+        """Links of the batch's records to the history: an equal digest, or perceptual hashes within ``DISTANCE``.
+
+        Distinct values are matched first, their files follow. One row per pair of records, no pair within the batch.
+        """
+        small = rows * self.PROBE_BYTES * sum(w + 1 for _, w in BANDS) <= self.probe_bytes
+        probes, met = self.probes(batch), None
+        found = self.candidates(probes, step)
+        if small:
+            met = found.join(F.broadcast(probes.drop("kind")), "key")
+        else:
+            met = salted_join(found, probes.drop("kind"), ["key"], "old", self.rows_per_task)
+        near = F.lit(False)
+        for k in range(len(BANDS)):
+            near = near | ((F.col("kind") == k) & _first_band(F.col("p_bits"), F.col("_ob"), k))
+        near = near & (hamming(F.col("p_bits"), F.col("_ob")) <= DISTANCE)
+        tag = F.when(F.col("p_digest").isNotNull(), F.concat(F.lit("d"), "p_digest")).otherwise(F.concat(F.lit("b"), F.col("p_bits").cast("string")))
+        met = met.where(near | (F.col("p_digest") == F.col("_od"))).select(tag.alias("tag"), "old", "_od", "_ob", "_ol")
+        tags = F.array_compact(F.array(F.concat(F.lit("d"), "digest"), F.concat(F.lit("b"), F.col("bits").cast("string"))))
+        files = batch.select(F.explode(tags).alias("tag"), F.col("file_id").alias("new"), F.col("digest").alias("_d"), F.col("bits").alias("_b"), F.col("look").alias("_l"))
+        if small:
+            both = met.join(F.broadcast(files), "tag")
+        else:
+            both = salted_join(Scratch(self.spark, "met").write(met), files, ["tag"], "old", self.rows_per_task)
+        same = F.coalesce(F.col("_d") == F.col("_od"), F.lit(False))
+        both = both.where((F.col("new") != F.col("old")) & ~(same & F.startswith("tag", F.lit("b"))))
         apart = lambda a, b: hamming(F.col(a), F.col(b)).cast("int")
-        return both.select("new", "old", F.coalesce(F.col("_d") == F.col("_od"), F.lit(False)).alias("same_digest"), apart("_b", "_ob").alias("bits_apart"), apart("_l", "_ol").alias("look_apart")).distinct()
+        return both.select("new", "old", same.alias("same_digest"), apart("_b", "_ob").alias("bits_apart"), apart("_l", "_ol").alias("look_apart"))
 
-    def step(self, batch: DataFrame, generation: int, rows: int | None = None) -> DataFrame:
-        """Link a batch against the history and accept it. Returns its links, which are written.
+    def append(self, batch: DataFrame) -> DataFrame:
+        """Link a batch ``(file_id, digest, bits, look)`` against the history and accept it. Returns its links.
 
-        First the near values are found; then three tables are written side by side: the links, the batch's records, and
-        the keys of the values that the index doesn't have yet. ``rows``: of the batch, if known.
+        Its records are filed first, then its links are written while their patterns are counted, then the clusters; the
+        entry in the log makes all of them count. What a session left unfinished is overwritten.
         """
-        records = batch.select("file_id", "digest", "bits", "look")
-        values = records.where("bits IS NOT NULL").select(F.col("bits").alias("value")).distinct()
-        found = self.links
-        if self.generations:
-            near, n = self.scratch.write_counted(self.near_values(batch, rows), f"near/g{generation}")
-            values = values.join(near.where("v_new = v_old").select(F.col("v_new").alias("value")), "value", "left_anti")
-            found = self.probe(batch, near, n, rows)
-        parts = {"links": found, "members": records, "index": self._keys(values)}
-        with ThreadPoolExecutor(len(parts)) as pool:
-            written = {k: pool.submit(self.scratch.write, df, f"{k}/g{generation}") for k, df in parts.items()}
-            written = {k: f.result() for k, f in written.items()}
-        if self.generations:
-            self.scratch.drop(self.scratch.path(f"near/g{generation}"))
-        self.generations.append(generation)
-        return written["links"]
-
-
-def link_history(cache: DataFrame, batches: DataFrame) -> Iterator[tuple[Linker, int, DataFrame]]:
-    """Run the steps in the order of ``batch_id``; the cache is what was accepted before. Yields after each batch.
-
-    Batches are taken one at a time from a table written by ``batch_id``; only the list of batch numbers and their rows is collected.
+        step = len(self.log)
+        seen = Observation()
+        filed = self._file(batch.observe(seen, F.count(F.lit(1)).alias("n"))).repartition("kind", "part")
+        filed.write.mode("overwrite").partitionBy("kind", "part").parquet(self._name(f"filed/step={step}"))
+        rows = _observed(seen).get("n", 0)
+        entry = {"step": step, "parts": self.parts, "records": rows, "patterns": {}}
+        path = self._name(f"links/step={step}")
+        if step and rows:
+            own = self.spark.read.schema(f"kind int, part int, {RECORD}").parquet(self._name(f"filed/step={step}")).where(F.col("kind") == WHOLE)
+            links, counts = self.probe(own, rows, step), Observation()
+            level = dict(zip(LEVELS, levels_of()))
+            each = [F.count_if(reduce(and_, (level[f] == v for f, v in zip(LEVELS, p)))).alias("|".join(p)) for p in product(*LEVELS.values())]
+            links.observe(counts, *each).write.mode("overwrite").parquet(path)
+            entry["patterns"] = {k: n for k, n in _observed(counts).items() if n}
+        else:
+            self.spark.createDataFrame([], LINK).write.mode("overwrite").parquet(path)
+        found = self.spark.read.schema(LINK).parquet(path)
+        self.log.append(entry)
+        try:
+            if self.clusters and entry["patterns"]:
+                self._merge(self.accepted(found), step)
+            elif self.clusters:
+                self.spark.createDataFrame([], f"{PARENT}, part int").write.mode("overwrite").partitionBy("part").parquet(self._name(f"parents/step={step}"))
+            self._store.save(f"v={self.version}/log/{step:06d}.json", entry)
+        except BaseException:
+            self.log.pop()
+            raise
+        return found
+
+    def _parents(self, upto: int) -> DataFrame:
+        return self._read("parents", f"step int, part int, {PARENT}", upto)
+
+    def find(self, nodes: DataFrame, upto: int) -> DataFrame:
+        """``(node, root)`` of the given nodes: parents are followed until there is none. Reads only partitions of those nodes."""
+        scratch = Scratch(self.spark, "find")
+        at = scratch.write(nodes.select("node", F.col("node").alias("root")), "0")
+        k = 0
+        while True:
+            log = self._parents(upto)
+            wanted = at.select("root").distinct()
+            if self.parts > 1:
+                met = [r.part for r in wanted.select(_part(F.col("root"), self.parts).alias("part")).distinct().collect()]
+                log = log.where(F.col("part").isin(met))
+            up = log.join(wanted, log.node == wanted.root, "left_semi").groupBy("node").agg(F.max_by("root", "step").alias("up"))
+            k += 1
+            seen = Observation()
+            moved = at.join(up.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root"), (F.col("up") != F.col("root")).alias("moved"))
+            at = scratch.write(moved.observe(seen, F.count_if("moved").alias("n")).drop("moved"), str(k))
+            if not _observed(seen).get("n", 0):
+                return at
+
+    def _merge(self, links: DataFrame, step: int) -> None:
+        """Unite the clusters that links connect; the smallest file becomes the root. Writes parents of touched nodes only."""
+        links = links.select("new", "old").distinct()
+        roots = self.find(links.select(F.explode(F.array("new", "old")).alias("node")).distinct(), step)
+        of = lambda c, r: roots.select(F.col("node").alias(c), F.col("root").alias(r))
+        edges = links.join(of("new", "src"), "new").join(of("old", "dst"), "old").select("src", "dst").distinct()
+        united = connected_components(edges).select(F.col("node").alias("root"), "component")
+        below = roots.join(united, "root").select("node", F.col("component").alias("root"))
+        parents = below.union(united.select(F.col("root").alias("node"), F.col("component").alias("root"))).distinct()
+        parents = parents.withColumn("part", _part(F.col("node"), self.parts)).repartition("part")
+        parents.write.mode("overwrite").partitionBy("part").parquet(self._name(f"parents/step={step}"))
+
+    def cluster_table(self) -> DataFrame:
+        """``(node, root)`` of all files in clusters of two or more."""
+        last = self._parents(len(self.log)).groupBy("node").agg(F.max_by("root", "step").alias("root"))
+        return connected_components(last, "node", "root").select("node", F.col("component").alias("root"))
+
+    def compact(self) -> None:
+        """Write all steps as one, with partitions for the records there are, every node right below its root."""
+        rows = sum(e["records"] for e in self.log)
+        members, links, clusters, counted = self.members, self.links.drop("step"), self.cluster_table() if self.clusters else None, self.counted
+        old, self.version = self.version, self.version + 1
+        self.parts = max(1, -(-rows // self.part_rows))
+        self._file(members).repartition("kind", "part").sortWithinPartitions("kind", "part", "bits").write.mode("overwrite").partitionBy("kind", "part").parquet(self._name("filed/step=0"))
+        links.write.mode("overwrite").parquet(self._name("links/step=0"))
+        if clusters is not None:
+            clusters.withColumn("part", _part(F.col("node"), self.parts)).repartition("part").write.mode("overwrite").partitionBy("part").parquet(self._name("parents/step=0"))
+        self.log = [{"step": 0, "parts": self.parts, "records": rows, "patterns": {"|".join(k): n for k, n in counted.items()}}]
+        self._store.save(f"v={self.version}/log/000000.json", self.log[0])
+        self._store.delete(f"v={old}")
+
+
+def link_history(cache: DataFrame, batches: DataFrame, clusters: bool = True) -> Linker | None:
+    """Append the cache and then the batches in the order of ``batch_id``; None without a batch.
+
+    Batches are taken one at a time from a table written by ``batch_id``; only the list of batch numbers is collected.
     """
     spark = cache.sparkSession
-    linker = Linker(spark)
-    linker.step(linker.scratch.write(cache, "incoming/cache"), 0)
-    incoming = linker.scratch.write(batches, "incoming/batches", partition_by=["batch_id"])
-    for generation, row in enumerate(incoming.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).orderBy("batch_id").collect(), 1):
-        batch = incoming.where(F.col("batch_id") == row.batch_id)
-        yield linker, generation, linker.step(batch, generation, row.n)
+    scratch = Scratch(spark, "linkage")
+    linker = Linker.open(spark, scratch.path("store"), clusters=clusters)
+    with ThreadPoolExecutor(2) as pool:
+        first = pool.submit(linker.append, cache)
+        incoming = pool.submit(scratch.write, batches, "incoming", partition_by=["batch_id"]).result()
+        first.result()
+    numbers = [r.batch_id for r in incoming.select("batch_id").distinct().orderBy("batch_id").collect()]
+    for n in numbers:
+        linker.append(incoming.where(F.col("batch_id") == n))
+    return linker if numbers else None
 
 
 def duplicates_of_batches(cache: DataFrame, batches: DataFrame) -> DataFrame:
-    """``(file_id_a, file_id_b)``, smaller first: all links of :func:`link_history`, each once."""
-    links = None
-    for linker, _, _ in link_history(cache, batches):
-        links = linker.links
-    if links is None:
+    """``(file_id_a, file_id_b)``, smaller first: all accepted links of :func:`link_history`, each once."""
+    linker = link_history(cache, batches, clusters=False)
+    if linker is None:
         return cache.sparkSession.createDataFrame([], "file_id_a bigint, file_id_b bigint")
-    return links.select(F.least("new", "old").alias("file_id_a"), F.greatest("new", "old").alias("file_id_b")).distinct()
+    return linker.accepted().select(F.least("new", "old").alias("file_id_a"), F.greatest("new", "old").alias("file_id_b")).distinct()
 
 
 LEVELS = {"digest": ("same", "differs"), "bits": ("0", "1-2", "3-4", "far", "none"), "look": ("0-4", "5-12", "far", "none")}
 
 
-def patterns(links: DataFrame) -> DataFrame:
+def levels_of() -> list[Column]:
     """The agreement level of each field of a link."""
     b, k = F.col("bits_apart"), F.col("look_apart")
-    return links.select(
-        "new", "old",
+    return [
         F.when(F.col("same_digest"), "same").otherwise("differs").alias("digest"),
         F.when(b.isNull(), "none").when(b == 0, "0").when(b <= 2, "1-2").when(b <= 4, "3-4").otherwise("far").alias("bits"),
         F.when(k.isNull(), "none").when(k <= 4, "0-4").when(k <= 12, "5-12").otherwise("far").alias("look"),
-    )
+    ]
 
 
 def chance_levels() -> dict[str, dict[str, float]]:
@@ -217,66 +451,23 @@ def learned_weights(counted: list[tuple[tuple[str, str, str], int]], rounds: int
     return {f: {lv: math.log2(m[f][lv] / u[f][lv]) for lv in LEVELS[f]} for f in fields}, share
 
 
-def scored_links(links: DataFrame) -> DataFrame:
-    """``(new, old, digest, bits, look, weight)``: each link with its levels and the sum of their learned weights.
-
-    Only the counts of the patterns (at most 40 rows) come to the driver.
-    """
-    p = patterns(links)
-    counted = [((r.digest, r.bits, r.look), r.n) for r in p.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("n")).orderBy(*LEVELS).collect()]
-    weights, _ = learned_weights(counted)
+def weighed(links: DataFrame, weights: dict[str, dict[str, float]]) -> DataFrame:
+    """``(new, old, digest, bits, look, weight)``: each link with its levels and the sum of their weights."""
 
     def weight(f: str) -> Column:
         return F.element_at(F.create_map(*[F.lit(x) for kv in weights[f].items() for x in kv]), F.col(f))
 
-    return p.withColumn("weight", F.round(sum((weight(f) for f in LEVELS), F.lit(0.0)), 6))
-
-
-class Clusters:
-    """Representatives of clusters as a log ``(node, root, generation)``; the root of a node is its latest entry.
-
-    Nodes that no link ever touched have no entry and stand for themselves. An update appends entries only for nodes of
-    clusters that a new link touches.
-    """
-
-    SCHEMA = "node bigint, root bigint, generation int"
-
-    def __init__(self, scratch: Scratch):
-        self.scratch, self.generations = scratch, []
-
-    def current(self) -> DataFrame:
-        """``(node, root)`` of all clusters of two or more."""
-        spark = self.scratch.spark
-        paths = [self.scratch.path(f"roots/g{g}") for g in self.generations]
-        log = spark.read.schema(self.SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], self.SCHEMA)
-        return log.groupBy("node").agg(F.max_by("root", "generation").alias("root"))
-
-    def update(self, links: DataFrame, generation: int) -> None:
-        """Merge the clusters that ``links (new, old)`` connect; the smallest node becomes the root."""
-        now = self.current()
-        root = lambda side: now.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-        ends = links.select("new", "old").join(root("new"), "new", "left").join(root("old"), "old", "left")
-        ends = ends.select("new", "old", F.coalesce("new_root", "new").alias("src"), F.coalesce("old_root", "old").alias("dst"))
-        merged = connected_components(ends.select("src", "dst").distinct())
-        moved = merged.select(F.col("node").alias("root"), "component")
-        known = now.join(moved, "root").where("component <> root").select("node", "component")
-        fresh = ends.select(F.explode(F.array("new", "old", "src", "dst")).alias("node")).distinct().join(now, "node", "left_anti")
-        fresh = fresh.join(moved.withColumnRenamed("root", "node"), "node")
-        entries = known.union(fresh.select("node", "component")).select("node", F.col("component").alias("root"), F.lit(generation).alias("generation"))
-        self.scratch.write(entries, f"roots/g{generation}")
-        self.generations.append(generation)
+    return links.select("new", "old", *levels_of()).withColumn("weight", F.round(sum((weight(f) for f in LEVELS), F.lit(0.0)), 6))
 
 
 def clusters_of_batches(cache: DataFrame, batches: DataFrame) -> DataFrame:
     """``(file_id, cluster_id, links)`` of every file in a cluster of two or more, after all batches.
 
-    ``cluster_id`` is the smallest file of the cluster, ``links`` the file's number of links.
+    ``cluster_id`` is the smallest file of the cluster, ``links`` the file's number of accepted links.
     """
-    clusters = linker = None
-    for linker, generation, found in link_history(cache, batches):
-        clusters = clusters or Clusters(linker.scratch)
-        clusters.update(found, generation)
-    if clusters is None:
+    linker = link_history(cache, batches)
+    if linker is None:
         return cache.sparkSession.createDataFrame([], "file_id bigint, cluster_id bigint, links bigint")
-    degree = linker.links.select(F.explode(F.array("new", "old")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    return clusters.current().join(degree, "node").select(F.col("node").alias("file_id"), F.col("root").alias("cluster_id"), "links")
+    pairs = linker.accepted().select(F.least("new", "old").alias("a"), F.greatest("new", "old").alias("b")).distinct()
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    return linker.cluster_table().join(degree, "node").select(F.col("node").alias("file_id"), F.col("root").alias("cluster_id"), "links")
