@@ -17,13 +17,12 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
-from operator import and_
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from quarryglass.functions.keys import digest, hamming, hash64
+from quarryglass.functions.keys import digest, hash64
 from quarryglass.operators.components import connected_components
 from quarryglass.plans.cut import Scratch
 from quarryglass.plans.salt import salted_join
@@ -62,30 +61,26 @@ def _with_looks(files: DataFrame, content: DataFrame) -> DataFrame:
     return files.join(looks, "file_id", "left")
 
 
-def _band(bits: Column, band: int) -> Column:
+# Expressions in SQL: built from columns, hundreds of calls to the JVM a step would cost more than the step on small batches.
+def _band(bits: str, band: int) -> str:
     shift, width = BANDS[band]
-    return F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1))
+    return f"(shiftrightunsigned({bits}, {shift}) & {(1 << width) - 1}L)"
 
 
-def _digest_key(digest: Column) -> Column:
-    """Below 0, so that it is none of a band's."""
-    return F.xxhash64(digest).bitwiseOR(F.lit(-(1 << 63)))
+def _key(kind: int) -> str:
+    """Of the columns ``digest`` and ``bits``. Those of digests are below 0, so that they are none of a band's."""
+    return f"(xxhash64(digest) | {-(1 << 63) + 1}L - 1L)" if kind == WHOLE else f"({_band('bits', kind)} | {kind << 32}L)"
 
 
-def _band_key(bits: Column, band: int) -> Column:
-    return _band(bits, band).bitwiseOR(F.lit(band << 32))
+def _part(key: str, parts: int) -> str:
+    return f"CAST(pmod(xxhash64({key}), {parts}) AS INT)"
 
 
-def _part(key: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
-
-
-def _first_band(a: Column, b: Column, band: int) -> Column:
-    """Whether no earlier band shows the pair, so that each pair comes out once."""
-    ok = F.lit(True)
-    for k in range(band):
-        ok = ok & (F.bit_count(_band(a, k).bitwiseXOR(_band(b, k))) > 1)
-    return ok
+def _near(a: str, b: str) -> str:
+    """Whether hashes are within the distance and ``kind`` is the first band that shows it, so that each pair comes out once."""
+    met = [f"bit_count({_band(a, k)} ^ {_band(b, k)}) <= 1" for k in range(len(BANDS))]
+    first = "CASE " + " ".join(f"WHEN {m} THEN {k}" for k, m in enumerate(met)) + " END"
+    return f"bit_count({a} ^ {b}) <= {DISTANCE} AND kind = {first}"
 
 
 def _observed(seen: Observation) -> dict[str, int]:
@@ -216,23 +211,21 @@ class Linker:
 
     def _file(self, records: DataFrame) -> DataFrame:
         """Each record under each of its keys: ``kind`` and the partition of the key."""
-        keys = [F.struct(F.lit(k).alias("kind"), _part(_band_key(F.col("bits"), k), self.parts).alias("part"), F.col("bits").isNotNull().alias("ok")) for k in range(len(BANDS))]
-        whole = F.when(F.col("digest").isNotNull(), _part(_digest_key(F.col("digest")), self.parts)).otherwise(_part(F.col("file_id"), self.parts))
-        keys.append(F.struct(F.lit(WHOLE).alias("kind"), whole.alias("part"), F.lit(True).alias("ok")))
-        return records.select("file_id", "digest", "bits", "look", F.explode(F.array(*keys)).alias("k")).where("k.ok").select("file_id", "digest", "bits", "look", "k.kind", "k.part")
+        keys = [f"struct({k} AS kind, {_part(_key(k), self.parts)} AS part, bits IS NOT NULL AS ok)" for k in range(len(BANDS))]
+        keys.append(f"struct({WHOLE} AS kind, IF(digest IS NULL, {_part('file_id', self.parts)}, {_part(_key(WHOLE), self.parts)}) AS part, true AS ok)")
+        filed = records.selectExpr("file_id", "digest", "bits", "look", f"explode(array({', '.join(keys)})) AS k").where("k.ok").select("file_id", "digest", "bits", "look", "k.kind", "k.part")
+        return filed.hint("rebalance", "kind", "part") if self.parts > 1 else filed
 
     def probes(self, batch: DataFrame) -> DataFrame:
-        """``(kind, key, bits, digest)``: the keys under which records alike to some of the batch are filed.
+        """``(kind, key, p_bits)``: the keys under which records alike to some of the batch are filed.
 
         For each distinct hash its bands and their neighbours at one bit, for each distinct digest its key.
         """
-        values = batch.where("bits IS NOT NULL").select("bits").distinct()
         flips = lambda w: ", ".join(["0L", *(f"{1 << j}L" for j in range(w))])
-        bands = (f"transform(array({flips(w)}), f -> struct({k} AS kind, (((shiftrightunsigned(bits, {a}) & {(1 << w) - 1}L) ^ f) | {k << 32}L) AS key))" for k, (a, w) in enumerate(BANDS))
-        near = F.expr(f"flatten(array({', '.join(bands)}))")
-        digests = batch.where("digest IS NOT NULL").select("digest").distinct()
-        own = values.select(F.explode(near).alias("p"), "bits").select("p.kind", "p.key", F.col("bits").alias("p_bits"), F.lit(None).cast("string").alias("p_digest"))
-        return own.union(digests.select(F.lit(WHOLE), _digest_key(F.col("digest")), F.lit(None).cast("bigint"), "digest"))
+        bands = (f"transform(array({flips(w)}), f -> struct({k} AS kind, ({_band('bits', k)} ^ f) | {k << 32}L AS key))" for k, (_, w) in enumerate(BANDS))
+        near = batch.where("bits IS NOT NULL").select("bits").distinct().selectExpr(f"explode(flatten(array({', '.join(bands)}))) AS p", "bits")
+        exact = batch.where("digest IS NOT NULL").select("digest").distinct()
+        return near.selectExpr("p.kind", "p.key", "bits AS p_bits").union(exact.selectExpr(f"{WHOLE}", _key(WHOLE), "CAST(NULL AS BIGINT)"))
 
     def candidates(self, probes: DataFrame, step: int) -> DataFrame:
         """``(kind, key, old, …)``: records of the history with the keys under which probes may find them.
@@ -241,58 +234,48 @@ class Linker:
         history, those partitions are read; else every record once, and its keys are made on the way.
         """
         history = self._filed(step)
-        cols = [F.col("file_id").alias("old"), F.col("digest").alias("_od"), F.col("bits").alias("_ob"), F.col("look").alias("_ol")]
-        key = lambda k: _digest_key(F.col("digest")) if k == WHOLE else _band_key(F.col("bits"), k)
+        own = "file_id AS old, digest AS _od, bits AS _ob, look AS _ol"
         if self.parts > 1:
-            met = probes.select("kind", _part(F.col("key"), self.parts).alias("part")).distinct().collect()  # at most 4 x parts
+            met = probes.selectExpr("kind", f"{_part('key', self.parts)} AS part").distinct().collect()  # at most 4 x parts
             if len(met) < self.parts:
-                out = None
+                kinds = []
                 for k in range(WHOLE + 1):
                     at = [r.part for r in met if r.kind == k]
-                    rows = history.where((F.col("kind") == k) & F.col("part").isin(at)).select(F.lit(k).alias("kind"), key(k).alias("key"), *cols).where("key IS NOT NULL")
-                    out = rows if out is None else out.union(rows)
-                return out
-        keys = F.array(*(F.struct(F.lit(k).alias("kind"), key(k).alias("key")) for k in range(WHOLE + 1)))
-        return history.where(F.col("kind") == WHOLE).select(F.explode(keys).alias("k"), *cols).select("k.kind", "k.key", "old", "_od", "_ob", "_ol").where("key IS NOT NULL")
+                    kinds.append(history.where((F.col("kind") == k) & F.col("part").isin(at)).selectExpr(f"{k} AS kind", f"{_key(k)} AS key", *own.split(", ")))
+                return reduce(DataFrame.union, kinds).where("key IS NOT NULL")
+        keys = ", ".join(f"struct({k} AS kind, {_key(k)} AS key)" for k in range(WHOLE))
+        keys += f", struct({WHOLE} AS kind, IF(digest IS NULL, NULL, {_key(WHOLE)}) AS key)"
+        return history.where(F.col("kind") == WHOLE).selectExpr(f"explode(array({keys})) AS k", *own.split(", ")).select("k.kind", "k.key", "old", "_od", "_ob", "_ol").where("key IS NOT NULL")
 
     def probe(self, batch: DataFrame, rows: int, step: int) -> DataFrame:
         """Links of the batch's records to the history: an equal digest, or perceptual hashes within ``DISTANCE``.
 
-        Distinct values are matched first, their files follow. One row per pair of records, no pair within the batch.
+        Distinct values are matched first, their files follow by a tag, which holds the whole digest or hash. One row per
+        pair of records, no pair within the batch.
         """
         small = rows * self.PROBE_BYTES * sum(w + 1 for _, w in BANDS) <= self.probe_bytes
-        probes, met = self.probes(batch), None
-        found = self.candidates(probes, step)
-        if small:
-            met = found.join(F.broadcast(probes.drop("kind")), "key")
-        else:
-            met = salted_join(found, probes.drop("kind"), ["key"], "old", self.rows_per_task)
-        near = F.lit(False)
-        for k in range(len(BANDS)):
-            near = near | ((F.col("kind") == k) & _first_band(F.col("p_bits"), F.col("_ob"), k))
-        near = near & (hamming(F.col("p_bits"), F.col("_ob")) <= DISTANCE)
-        tag = F.when(F.col("p_digest").isNotNull(), F.concat(F.lit("d"), "p_digest")).otherwise(F.concat(F.lit("b"), F.col("p_bits").cast("string")))
-        met = met.where(near | (F.col("p_digest") == F.col("_od"))).select(tag.alias("tag"), "old", "_od", "_ob", "_ol")
-        tags = F.array_compact(F.array(F.concat(F.lit("d"), "digest"), F.concat(F.lit("b"), F.col("bits").cast("string"))))
-        files = batch.select(F.explode(tags).alias("tag"), F.col("file_id").alias("new"), F.col("digest").alias("_d"), F.col("bits").alias("_b"), F.col("look").alias("_l"))
-        if small:
-            both = met.join(F.broadcast(files), "tag")
-        else:
-            both = salted_join(Scratch(self.spark, "met").write(met), files, ["tag"], "old", self.rows_per_task)
-        same = F.coalesce(F.col("_d") == F.col("_od"), F.lit(False))
-        both = both.where((F.col("new") != F.col("old")) & ~(same & F.startswith("tag", F.lit("b"))))
-        apart = lambda a, b: hamming(F.col(a), F.col(b)).cast("int")
-        return both.select("new", "old", same.alias("same_digest"), apart("_b", "_ob").alias("bits_apart"), apart("_l", "_ol").alias("look_apart"))
-
-    def append(self, batch: DataFrame) -> DataFrame:
+        probes = self.probes(batch)
+        found, probes = self.candidates(probes, step), probes.drop("kind")
+        met = found.join(F.broadcast(probes), "key") if small else salted_join(found, probes, ["key"], "old", self.rows_per_task)
+        met = met.where(f"p_bits IS NULL OR {_near('p_bits', '_ob')}").selectExpr("IF(p_bits IS NULL, 'd' || _od, 'b' || p_bits) AS tag", "old", "_od", "_ob", "_ol")
+        files = batch.selectExpr("explode(array_compact(array('d' || digest, 'b' || bits))) AS tag", "file_id AS new", "digest AS _d", "bits AS _b", "look AS _l")
+        both = met.join(F.broadcast(files), "tag") if small else salted_join(Scratch(self.spark, "met").write(met), files, ["tag"], "old", self.rows_per_task)
+        # a near pair with the same digest comes by its digest
+        both = both.where("new <> old AND NOT (startswith(tag, 'b') AND coalesce(_d = _od, false))")
+        return both.selectExpr("new", "old", "coalesce(_d = _od, false) AS same_digest", "CAST(bit_count(_b ^ _ob) AS INT) AS bits_apart", "CAST(bit_count(_l ^ _ol) AS INT) AS look_apart")
+
+    def append(self, batch: DataFrame, rows: int = 0) -> DataFrame:
         """Link a batch ``(file_id, digest, bits, look)`` against the history and accept it. Returns its links.
 
+        ``rows``: of the first batch, if known, for its number of partitions.
+
         Its records are filed first, then its links are written while their patterns are counted, then the clusters; the
         entry in the log makes all of them count. What a session left unfinished is overwritten.
         """
         step = len(self.log)
+        self.parts = self.parts if step else max(1, -(-rows // self.part_rows))
         seen = Observation()
-        filed = self._file(batch.observe(seen, F.count(F.lit(1)).alias("n"))).repartition("kind", "part")
+        filed = self._file(batch.observe(seen, F.count(F.lit(1)).alias("n")))
         filed.write.mode("overwrite").partitionBy("kind", "part").parquet(self._name(f"filed/step={step}"))
         rows = _observed(seen).get("n", 0)
         entry = {"step": step, "parts": self.parts, "records": rows, "patterns": {}}
@@ -300,9 +283,8 @@ class Linker:
         if step and rows:
             own = self.spark.read.schema(f"kind int, part int, {RECORD}").parquet(self._name(f"filed/step={step}")).where(F.col("kind") == WHOLE)
             links, counts = self.probe(own, rows, step), Observation()
-            level = dict(zip(LEVELS, levels_of()))
-            each = [F.count_if(reduce(and_, (level[f] == v for f, v in zip(LEVELS, p)))).alias("|".join(p)) for p in product(*LEVELS.values())]
-            links.observe(counts, *each).write.mode("overwrite").parquet(path)
+            each = [F.expr("count_if(" + " AND ".join(f"{f} = '{v}'" for f, v in zip(LEVELS, p)) + ")").alias("|".join(p)) for p in product(*LEVELS.values())]
+            links.select("*", *levels_of()).observe(counts, *each).select(links.columns).write.mode("overwrite").parquet(path)
             entry["patterns"] = {k: n for k, n in _observed(counts).items() if n}
         else:
             self.spark.createDataFrame([], LINK).write.mode("overwrite").parquet(path)
@@ -331,7 +313,7 @@ class Linker:
             log = self._parents(upto)
             wanted = at.select("root").distinct()
             if self.parts > 1:
-                met = [r.part for r in wanted.select(_part(F.col("root"), self.parts).alias("part")).distinct().collect()]
+                met = [r.part for r in wanted.selectExpr(f"{_part('root', self.parts)} AS part").distinct().collect()]
                 log = log.where(F.col("part").isin(met))
             up = log.join(wanted, log.node == wanted.root, "left_semi").groupBy("node").agg(F.max_by("root", "step").alias("up"))
             k += 1
@@ -350,7 +332,7 @@ class Linker:
         united = connected_components(edges).select(F.col("node").alias("root"), "component")
         below = roots.join(united, "root").select("node", F.col("component").alias("root"))
         parents = below.union(united.select(F.col("root").alias("node"), F.col("component").alias("root"))).distinct()
-        parents = parents.withColumn("part", _part(F.col("node"), self.parts)).repartition("part")
+        parents = parents.withColumn("part", F.expr(_part("node", self.parts))).hint("rebalance", "part")
         parents.write.mode("overwrite").partitionBy("part").parquet(self._name(f"parents/step={step}"))
 
     def cluster_table(self) -> DataFrame:
@@ -364,10 +346,10 @@ class Linker:
         members, links, clusters, counted = self.members, self.links.drop("step"), self.cluster_table() if self.clusters else None, self.counted
         old, self.version = self.version, self.version + 1
         self.parts = max(1, -(-rows // self.part_rows))
-        self._file(members).repartition("kind", "part").sortWithinPartitions("kind", "part", "bits").write.mode("overwrite").partitionBy("kind", "part").parquet(self._name("filed/step=0"))
+        self._file(members).write.mode("overwrite").partitionBy("kind", "part").parquet(self._name("filed/step=0"))
         links.write.mode("overwrite").parquet(self._name("links/step=0"))
         if clusters is not None:
-            clusters.withColumn("part", _part(F.col("node"), self.parts)).repartition("part").write.mode("overwrite").partitionBy("part").parquet(self._name("parents/step=0"))
+            clusters.withColumn("part", F.expr(_part("node", self.parts))).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(self._name("parents/step=0"))
         self.log = [{"step": 0, "parts": self.parts, "records": rows, "patterns": {"|".join(k): n for k, n in counted.items()}}]
         self._store.save(f"v={self.version}/log/000000.json", self.log[0])
         self._store.delete(f"v={old}")
@@ -382,9 +364,11 @@ def link_history(cache: DataFrame, batches: DataFrame, clusters: bool = True) ->
     scratch = Scratch(spark, "linkage")
     linker = Linker.open(spark, scratch.path("store"), clusters=clusters)
     with ThreadPoolExecutor(2) as pool:
-        first = pool.submit(linker.append, cache)
-        incoming = pool.submit(scratch.write, batches, "incoming", partition_by=["batch_id"]).result()
-        first.result()
+        # few files a batch, and large batches in several
+        incoming = pool.submit(scratch.write, batches.hint("rebalance", "batch_id"), "incoming", partition_by=["batch_id"])
+        accepted, rows = scratch.write_counted(cache, "cache")
+        linker.append(accepted, rows)
+        incoming = incoming.result()
     numbers = [r.batch_id for r in incoming.select("batch_id").distinct().orderBy("batch_id").collect()]
     for n in numbers:
         linker.append(incoming.where(F.col("batch_id") == n))
