@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryglass.plans.cut import Scratch
+
 
 def top_values(df: DataFrame, value: Column, k: int, name: str = "value") -> DataFrame:
     """``(value, n)`` of the k most frequent values, by count and then value; nulls don't count."""
@@ -86,16 +88,17 @@ def trailing_count(log: DataFrame, ts: str, seconds: int, by: str) -> DataFrame:
     return log.withColumn("in_window", F.count(F.lit(1)).over(w))
 
 
-def batches_of(df: DataFrame, order: str, size: int, parts: int = 64) -> DataFrame:
+def batches_of(df: DataFrame, order: str, size: int, rows_per_range: int = 1_000_000) -> DataFrame:
     """Each row with its batch number: consecutive batches of ``size`` in the order of the column.
 
-    Global numbers without one task for all rows: rows are numbered within ranges, and the ranges are shifted by prefix
-    sums over their counts.
+    Global numbers without one task for all rows: rows are numbered within ranges of about ``rows_per_range``, as many as
+    the data need, and the ranges are shifted by prefix sums over their counts. Equal values of the column stay in one range.
     """
-    ranged = df.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    from quarryglass.plans.cut import Scratch
-
-    kept = Scratch(df.sparkSession, "batches").write(ranged)
-    n = kept.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    first = n.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    scratch = Scratch(df.sparkSession, "batches")
+    rows, n = scratch.write_counted(df, "rows")
+    parts = max(1, -(-n // rows_per_range))
+    ranged = rows.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
+    kept = scratch.write(ranged, "ranged")
+    first = kept.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    first = first.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return kept.join(F.broadcast(first), "_p").withColumn("batch", F.floor((F.col("_before") + F.col("_k") - 1) / size)).drop("_p", "_k", "_before")

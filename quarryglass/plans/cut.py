@@ -11,6 +11,7 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,11 @@ class Scratch:
         """Like ``write``, with the number of rows, which is taken while they are written."""
         seen = Observation()
         self.write(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
-        return self.read(self.path(name), df), seen.get["n"]
+        try:
+            n = seen.get["n"]
+        except Py4JJavaError:  # a plan that is empty from the outset loses its metrics
+            n = 0
+        return self.read(self.path(name), df), n
 
     def read(self, path: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(path)

@@ -167,7 +167,7 @@ def test_summaries(spark, rows):
     assert rows(error_summary(df.limit(0), ["a"])) == {(0, 0, 0, 0.0)}
     a, b = spark.createDataFrame([("s", 2)], "k string, n int"), spark.createDataFrame([("t", 3)], "k string, n int")
     assert rows(run_comparison(a, b, "k", "n")) == {("s", 2, 0, -2), ("t", 0, 3, 3)}
-    got = {r.id: r.batch for r in batches_of(spark.range(100).select(F.col("id")), "id", 7, parts=5).collect()}
+    got = {r.id: r.batch for r in batches_of(spark.range(100).select(F.col("id")), "id", 7, rows_per_range=20).collect()}
     assert got == {k: k // 7 for k in range(100)}
 
 
