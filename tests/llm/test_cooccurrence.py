@@ -3,6 +3,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quarryglass.llm import cooccurrence as C
@@ -26,6 +27,7 @@ def brute(baskets, least, share, lift):
 
 def test_pairs_agree_with_brute_force(spark, monkeypatch):
     monkeypatch.setattr(C, "PAIRS_HELD", 20)
+    monkeypatch.setattr(C, "BLOCK", 4)
     rnd = random.Random(5)
     words = [f"w{k}" for k in range(25)]
     baskets = [{"hot"} if rnd.random() < 0.4 else set() for _ in range(400)]
@@ -34,10 +36,35 @@ def test_pairs_agree_with_brute_force(spark, monkeypatch):
         if "w3" in b and rnd.random() < 0.9:
             b.add("w4")
     df = spark.createDataFrame([(k, list(b), {}, None) for k, b in enumerate(baskets)], ML)
-    got = C.associations(df, least=5, share=0.01, lift=1.2)
+    got = C.associations(df, least=5, share=0.01, lift=1.2, significant=0)
     want = brute(baskets, 5, 0.01, 1.2)
     assert want and {(r.item_a, r.item_b): (r.together, r.files_a, r.files_b) for r in got.collect()} == want
     assert all(a < b for a, b in want)
+    sure = {(r.item_a, r.item_b) for r in C.associations(df, least=5, share=0.01, lift=1.2).collect()}
+    assert sure == {(r.item_a, r.item_b) for r in got.where(f"llr >= {C.SIGNIFICANT}").collect()} and 0 < len(sure) < len(want)
+
+
+def test_stripes_are_merged_by_item(spark):
+    import pandas as pd
+
+    one = C._as_stripes(np.array([(1 << 31) | 5, (1 << 31) | 3000, (2 << 31) | 5]), np.array([1, 2, 3]))
+    assert one[["item", "block"]].to_numpy().tolist() == [[1, 0], [1, 2], [2, 0]]
+    two = next(C._merged(iter([one, pd.DataFrame(columns=one.columns), one])))
+    assert [x.tolist() for x in two["counts"]] == [[2], [4], [6]] and [x.tolist() for x in two["neighbours"]] == [[5], [3000], [5]]
+    assert list(C._merged(iter([]))) == []
+
+
+def test_no_case_of_the_least_support_and_lift_is_insignificant():
+    def llr(k, a, b, n):
+        h = lambda *x: sum(v * math.log(v) for v in x if v)
+        return 2 * (h(k, a - k, b - k, n - a - b + k) - h(a, n - a, b, n - b) + h(n))
+
+    rnd = random.Random(8)
+    for _ in range(20_000):
+        n, k = rnd.randrange(20, 5_000), rnd.randrange(5, 12)
+        a, b = rnd.randrange(k, 60), rnd.randrange(k, 60)
+        if a + b - k <= n and k * n >= 3 * a * b:
+            assert llr(k, a, b, n) > C.SIGNIFICANT
 
 
 def test_many_items_are_joined_instead_of_sent(spark, monkeypatch):
