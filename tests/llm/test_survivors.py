@@ -63,3 +63,26 @@ def test_truth_follows_reliable_sources(spark):
 def test_fused(spark):
     got = {(r.group_id, r.field): r.value for r in S.fused_fields(results(spark), images(spark)).collect()}
     assert got[1, "model"] == "m1" and got[10, "model"] in ("m10", "m13") and (3, "model") not in got
+
+
+def test_weights_and_settling(spark):
+    schema = "object bigint, field string, source string, value string, weight double"
+    claims = [(1, "f", "a", "x", 1.0), (1, "f", "b", "y", 3.0), (1, "f", "b", "y", 2.0), (1, "f", "c", "x", 1.0)]
+    got = S.discover_truth(spark.createDataFrame(claims, schema), rounds=1).collect()
+    assert [(r.value, r.support, r.sources, r.settled) for r in got] == [("y", 3.0, 1, False)]
+    assert S.discover_truth(spark.createDataFrame(claims, schema)).first().settled
+
+
+def test_sources_are_whole_folders(spark):
+    when = datetime(2024, 1, 1)
+    r = spark.createDataFrame([(k, f"/l/{'ab'[k % 2]}/2019/{k}", "/x" if k < 5 else f"/y{k // 3}", 50.0, False, when, 0) for k in range(5)], RESULT)
+    i = spark.createDataFrame([(k, when, f"m{k % 2}", None, None, None, None, None, 0) for k in range(5)], IMAGE)
+    got = S.fused_fields(r, i).collect()
+    # the folder of three files has one claim, as the other has
+    assert [(x.group_id, x.field, x.value, x.sources) for x in got] == [(0, "model", "m0", 1)]
+
+
+def test_a_path_that_very_many_files_name(spark, rows, monkeypatch):
+    monkeypatch.setattr(S, "NAMING_ROWS", 3)
+    last = spark.createDataFrame([(k, f"/f{k}", "/gone") for k in range(40)] + [(99, "/f99", None)], "file_id bigint, path string, named string")
+    assert rows(S.duplicate_groups(last)) == {(k, 0) for k in range(40)}
