@@ -1,5 +1,7 @@
 """Queries on texts: packing, leaks, sentences."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from quarryglass.catalog import Catalog
@@ -9,6 +11,8 @@ from quarryglass.llm.sentences import sentences
 from quarryglass.plans.cut import Scratch
 from quarryglass.sources.tables import table
 
+#: Ranks of a public tokenizer, read by the driver.
+TOKENIZER = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Least part of a passage that an alignment must hold for an edited copy.
 ALIGNED = 0.5
 
@@ -16,7 +20,7 @@ ALIGNED = 0.5
 def register(c: Catalog) -> None:
     @c.query("p6_containers")
     def containers(spark, d):
-        counts = token_counts(table(spark, d, "documents", "doc_id", "text"))
+        counts = token_counts(table(spark, d, "documents", "doc_id", "text"), TOKENIZER)
         return fill_containers(counts, table(spark, d, "container_spec"))
 
     @c.query("p6_report")
