@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,10 +21,12 @@ from quarryglass.plans.cut import Scratch
 from quarryglass.plans.salt import salted_join
 
 EARTH_M = 6_371_008.8
+#: Degrees by which rounding may move an edge.
+SLACK = 1e-9
 #: Side of a grid cell over the search radius. At 4, the disc around a point touches 2.25 cells on average.
 CELL = 4.0
-#: Left rows of one cell that a task takes.
-CELL_ROWS = 2_000
+#: Left rows of one cell or position that a task takes, and points of one tile.
+CELL_ROWS, TILE_ROWS = 2_000, 1_000_000
 
 
 def usable(lat: Column, lon: Column) -> Column:
@@ -55,18 +58,55 @@ def _columns_of(row: Column, step: float) -> Column:
     return F.greatest(F.lit(1), F.floor(360.0 / step * F.cos(F.radians(F.least(F.lit(90.0), edge))))).cast("bigint")
 
 
+@dataclass
+class NearSpots:
+    """Distinct positions near one another, and the points at each.
+
+    ``points``: ``(_id, _lat, _lon)``. ``spots``: ``(_lat, _lon, _spot, n)``, the smallest id and the number of points of a
+    position. ``pairs``: ``(_a, _b, _lat_a, _lon_a, _lat_b, _lon_b)`` of positions, each pair once.
+    """
+
+    points: DataFrame
+    spots: DataFrame
+    pairs: DataFrame
+
+    def counts(self) -> DataFrame:
+        """``(id, spot, neighbours)`` of every point: its position's smallest id and how many other points are near."""
+        ends = self.pairs.select(F.col("_a").alias("_spot"), F.col("_b").alias("_other")).union(self.pairs.select("_b", "_a"))
+        near = ends.join(self.spots.select(F.col("_spot").alias("_other"), "n"), "_other").groupBy("_spot").agg(F.sum("n").alias("_near"))
+        sized = self.spots.join(near, "_spot", "left").select("_lat", "_lon", "_spot", (F.col("n") - 1 + F.coalesce("_near", F.lit(0))).alias("neighbours"))
+        return salted_join(self.points, sized, ["_lat", "_lon"], "_id", TILE_ROWS, self._held()).select(F.col("_id").alias("id"), F.col("_spot").alias("spot"), "neighbours")
+
+    def expanded(self) -> DataFrame:
+        """``(id_a, id_b)``, smaller first: all pairs of points. A crowded position is split over several tasks."""
+        at = lambda s: self.points.select(F.col("_id").alias(f"_id_{s}"), F.col("_lat").alias(f"_lat_{s}"), F.col("_lon").alias(f"_lon_{s}"))
+        crowd = lambda s: self._held().withColumnsRenamed({"_lat": f"_lat_{s}", "_lon": f"_lon_{s}"})
+        half = salted_join(at("a"), self.pairs, ["_lat_a", "_lon_a"], "_id_a", CELL_ROWS, crowd("a")).select("_id_a", "_lat_b", "_lon_b")
+        apart = salted_join(at("b"), half, ["_lat_b", "_lon_b"], "_id_b", CELL_ROWS, crowd("b")).select("_id_a", "_id_b")
+        mate = at("b").select("_id_b", F.col("_lat_b").alias("_lat_a"), F.col("_lon_b").alias("_lon_a"))
+        same = salted_join(at("a"), mate, ["_lat_a", "_lon_a"], "_id_a", CELL_ROWS, crowd("a")).where("_id_a < _id_b").select("_id_a", "_id_b")
+        return apart.union(same).select(F.least("_id_a", "_id_b").alias("id_a"), F.greatest("_id_a", "_id_b").alias("id_b"))
+
+    def _held(self) -> DataFrame:
+        return self.spots.select("_lat", "_lon", F.col("n").alias("_salt_n"))
+
+
 def near_pairs(points: DataFrame, metres: float, id_col: str = "file_id", lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """``(id_a, id_b)``, smaller first: all pairs of different ids at most ``metres`` apart on the sphere.
+    """``(id_a, id_b)``, smaller first: all pairs of different ids at most ``metres`` apart on the sphere; see :func:`near_spots`."""
+    return near_spots(points, metres, id_col, lat, lon).expanded()
+
+
+def near_spots(points: DataFrame, metres: float, id_col: str = "file_id", lat: str = "lat", lon: str = "lon") -> NearSpots:
+    """The positions at most ``metres`` apart on the sphere, and the points at each.
 
-    ``points`` has one row per id with usable degrees. Rows of the same position are joined once, as a class: the search
-    runs over distinct positions and the members are joined to its result. A crowded cell is split over several tasks by
-    ``salted_join``; nothing is capped. Poles and the 180th meridian need no care by the caller. Null ids or positions
-    match nothing; an empty table gives an empty result.
+    ``points`` has one row per id with usable degrees. Points of the same position are one class, so that the search runs
+    over distinct positions. A crowded cell is split over several tasks by ``salted_join``; nothing is capped. Poles and the
+    180th meridian need no care by the caller. Null ids or positions match nothing; an empty table gives an empty result.
     """
     p = points.select(F.col(id_col).alias("_id"), (F.col(lat) + 0.0).alias("_lat"), (F.col(lon) + 0.0).alias("_lon")).where("_id IS NOT NULL AND _lat IS NOT NULL AND _lon IS NOT NULL")
     scratch = Scratch(points.sparkSession, "near")
     p = scratch.write(p, "points")
-    spot = scratch.write(p.groupBy("_lat", "_lon").agg(F.min("_id").alias("_spot")), "spots")
+    spot = scratch.write(p.groupBy("_lat", "_lon").agg(F.min("_id").alias("_spot"), F.count(F.lit(1)).alias("n")), "spots")
     reach = math.degrees(metres / EARTH_M) * (1 + 1e-9)
     step = reach * CELL
     row = F.floor(F.col("_lat") / step)
@@ -83,10 +123,7 @@ def near_pairs(points: DataFrame, metres: float, id_col: str = "file_id", lat: s
     seeking = rows.select(F.col("_spot").alias("_b"), F.col("_lat").alias("_lat_b"), F.col("_lon").alias("_lon_b"), "_row", F.explode(F.array_distinct(cols)).alias("_col"))
     met = salted_join(held, seeking, ["_row", "_col"], "_a", CELL_ROWS)
     spots = met.where("_a < _b").where(great_circle_m(F.col("_lat_a"), F.col("_lon_a"), F.col("_lat_b"), F.col("_lon_b")) <= metres).select("_a", "_b", "_lat_a", "_lon_a", "_lat_b", "_lon_b")
-    at = lambda s: p.select(F.col("_id").alias(f"_id_{s}"), F.col("_lat").alias(f"_lat_{s}"), F.col("_lon").alias(f"_lon_{s}"))
-    apart = spots.join(at("a"), ["_lat_a", "_lon_a"]).select("_id_a", "_lat_b", "_lon_b").join(at("b"), ["_lat_b", "_lon_b"]).select("_id_a", "_id_b")
-    same = at("a").join(at("b").select("_id_b", F.col("_lat_b").alias("_lat_a"), F.col("_lon_b").alias("_lon_a")), ["_lat_a", "_lon_a"]).where("_id_a < _id_b").select("_id_a", "_id_b")
-    return apart.union(same).select(F.least("_id_a", "_id_b").alias("id_a"), F.greatest("_id_a", "_id_b").alias("id_b"))
+    return NearSpots(p, spot, scratch.write(spots, "pairs"))
 
 
 def _rings(wkt: str | None) -> list[list[tuple[float, float]]]:
@@ -128,9 +165,11 @@ def _slabs(rings: list[list[tuple[float, float]]]) -> Iterator[tuple[float, floa
 
 
 def region_slabs(regions: DataFrame, tile: float = 1.0) -> DataFrame:
-    """``(tile_x, tile_y, region_id, wests, easts, edges)``: for each tile of ``tile`` degrees, the slabs of each region there.
+    """``(tile_x, tile_y, region_id, wests, easts, below, edges)``: for each tile of ``tile`` degrees, the slabs of each region there.
 
-    ``wests`` ascends; ``edges[k]`` holds the latitudes ``(w, e)`` of the edges of slab k from south to north. Longitudes
+    ``wests`` ascends; ``edges[k]`` holds the latitudes ``(w, e)`` of those edges of slab k that may pass through the tile, from
+    south to north, and ``below[k]`` is 1 where an odd number of edges lies south of it, so that a boundary's edges are stored
+    about once for each tile they pass. Longitudes
     past 180 are turned back by whole rounds, slabs are cut at the 180th meridian. A boundary that is null or has no ring
     of three vertices gives nothing.
     """
@@ -144,18 +183,23 @@ def region_slabs(regions: DataFrame, tile: float = 1.0) -> DataFrame:
                 for west, east, edges in _slabs(_rings(wkt)):
                     turn = 360.0 * math.floor((west + 180) / 360)
                     w, e = west - turn, east - turn
-                    south, north = min(min(y) for y in edges), max(max(y) for y in edges)
                     for tx in range(math.floor(w / tile), math.ceil(e / tile)):
-                        for ty in range(math.floor(south / tile), math.floor(north / tile) + 1):
-                            rows.setdefault((tx, ty, int(region)), []).append((w, e, edges))
+                        a, b = ((min(max(x, w), e) - w) / (e - w) for x in (tx * tile, (tx + 1) * tile))
+                        spans = [tuple(sorted((y[0] + (y[1] - y[0]) * a, y[0] + (y[1] - y[0]) * b))) for y in edges]
+                        for ty in range(math.floor(min(lo for lo, _ in spans) / tile), math.floor(max(hi for _, hi in spans) / tile) + 1):
+                            # edges south of the tile count for all of its points, those north of it for none
+                            south = sum(hi < ty * tile - SLACK for _, hi in spans)
+                            near = [y for y, (lo, hi) in zip(edges, spans) if hi >= ty * tile - SLACK and lo <= (ty + 1) * tile + SLACK]
+                            if near or south % 2:
+                                rows.setdefault((tx, ty, int(region)), []).append((w, e, south % 2, near))
             out = []
             for (tx, ty, region), slabs in rows.items():
                 slabs.sort(key=lambda s: s[0])
-                out.append((tx, ty, region, [s[0] for s in slabs], [s[1] for s in slabs], [[{"w": y[0], "e": y[1]} for y in s[2]] for s in slabs]))
+                out.append((tx, ty, region, [s[0] for s in slabs], [s[1] for s in slabs], [s[2] for s in slabs], [[{"w": y[0], "e": y[1]} for y in s[3]] for s in slabs]))
             if out:
-                yield pd.DataFrame(out, columns=["tile_x", "tile_y", "region_id", "wests", "easts", "edges"])
+                yield pd.DataFrame(out, columns=["tile_x", "tile_y", "region_id", "wests", "easts", "below", "edges"])
 
-    schema = "tile_x int, tile_y int, region_id bigint, wests array<double>, easts array<double>, edges array<array<struct<w:double,e:double>>>"
+    schema = "tile_x int, tile_y int, region_id bigint, wests array<double>, easts array<double>, below array<int>, edges array<array<struct<w:double,e:double>>>"
     return regions.select("region_id", "boundary_wkt").dropDuplicates().mapInPandas(cut, schema)
 
 
@@ -177,19 +221,18 @@ def containing_regions(points: DataFrame, regions: DataFrame, id_col: str = "fil
 
     Overlapping and nested regions all count; of a boundary's points, those on its southern and western sides count as
     held. Points need usable degrees; null ones match nothing. Regions given twice count once. Points join the slabs on
-    the tile; where one tile holds a large part of the points, adaptive skew handling splits them, as its slab side is
-    bounded by the boundaries in one tile.
+    the tile; where one tile holds very many points, ``salted_join`` splits them.
     """
     turned = F.when(F.col(lon) >= 180, F.col(lon) - 360.0).otherwise(F.col(lon))
     p = points.select(F.col(id_col).alias("id"), F.col(lat).alias("_y"), turned.alias("_x"))
     p = p.withColumns({"tile_x": F.floor(F.col("_x") / tile).cast("int"), "tile_y": F.floor(F.col("_y") / tile).cast("int")})
-    met = p.join(region_slabs(regions, tile), ["tile_x", "tile_y"])
+    met = salted_join(p, region_slabs(regions, tile), ["tile_x", "tile_y"], "id", TILE_ROWS)
     met = met.withColumn("_k", _last_at_most(F.size("wests"), lambda k: F.get("wests", k - 1) <= F.col("_x"))).where("_k > 0")
-    met = met.withColumns({"_w": F.get("wests", F.col("_k") - 1), "_e": F.get("easts", F.col("_k") - 1), "_edges": F.get("edges", F.col("_k") - 1)}).where("_x < _e")
-    met = met.withColumn("_t", (F.col("_x") - F.col("_w")) / (F.col("_e") - F.col("_w"))).select("id", "region_id", "_y", "_t", "_edges")
+    met = met.withColumns({"_w": F.get("wests", F.col("_k") - 1), "_e": F.get("easts", F.col("_k") - 1), "_below": F.get("below", F.col("_k") - 1), "_edges": F.get("edges", F.col("_k") - 1)}).where("_x < _e")
+    met = met.withColumn("_t", (F.col("_x") - F.col("_w")) / (F.col("_e") - F.col("_w"))).select("id", "region_id", "_y", "_t", "_below", "_edges")
 
     def below(k: Column) -> Column:
         edge = F.get("_edges", k - 1)
         return edge["w"] + (edge["e"] - edge["w"]) * F.col("_t") <= F.col("_y")
 
-    return met.where(_last_at_most(F.size("_edges"), below) % 2 == 1).select("id", "region_id").distinct()
+    return met.where((F.col("_below") + _last_at_most(F.size("_edges"), below)) % 2 == 1).select("id", "region_id").distinct()

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarryglass.catalog import Catalog
-from quarryglass.operators.places import containing_regions, near_pairs, positions
+from quarryglass.operators.places import containing_regions, near_pairs, near_spots, positions
 from quarryglass.plans.cut import Scratch
 from quarryglass.sources.tables import table
 
@@ -53,3 +53,8 @@ def register(c: Catalog) -> None:
     def per_region(spark, d):
         held = containing_regions(positions(table(spark, d, "image_metadata")), table(spark, d, "geo_region"))
         return held.groupBy("region_id").agg(F.count(F.lit(1)).alias("files"))
+
+    @c.query("p2_neighbour_counts", f"""WITH {POSITIONS_SQL.strip()}, {NEAR_SQL.strip()}, ends AS (SELECT id_a AS id FROM near UNION ALL SELECT id_b FROM near)
+        SELECT file_id AS id, min(file_id) OVER (PARTITION BY lat, lon) AS spot, (SELECT count(*) FROM ends WHERE id = file_id) AS neighbours FROM pos""")
+    def neighbour_counts(spark, d):
+        return near_spots(positions(table(spark, d, "image_metadata")), NEAR_M).counts()

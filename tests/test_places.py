@@ -85,3 +85,25 @@ def test_star_shaped_region_agrees_with_ray_casting(spark, rows):
             want.add((k, 1))
     df = spark.createDataFrame([(*p, 0, "r") for p in pts], POINT)
     assert rows(P.containing_regions(df, spark.createDataFrame([(1, wkt, 0)], REGION))) == want and want
+
+
+def test_a_hot_position_and_a_hot_tile_are_split_and_whole(spark, rows, monkeypatch):
+    monkeypatch.setattr(P, "CELL_ROWS", 5)
+    monkeypatch.setattr(P, "TILE_ROWS", 7)
+    pts = [(k, 10.0, 20.0) for k in range(40)] + [(100 + k, 10.0002, 20.0) for k in range(20)] + [(200, 10.1, 20.0)]
+    df = spark.createDataFrame([(*p, 0, "r") for p in pts], POINT)
+    want = brute(pts, 50.0)
+    assert rows(P.near_pairs(df, 50.0)) == want
+    degree = {k: sum(k in w for w in want) for k, _, _ in pts}
+    assert rows(P.near_spots(df, 50.0).counts()) == {(k, 0 if k < 100 else 100 if k < 200 else 200, degree[k]) for k, _, _ in pts}
+    region = spark.createDataFrame([(1, "POLYGON((19 9, 21 9, 21 11, 19 11, 19 9))", 0)], REGION)
+    assert rows(P.containing_regions(df, region)) == {(k, 1) for k, _, _ in pts}
+
+
+def test_edges_are_stored_for_the_tiles_they_pass(spark):
+    n = 400
+    ring = [(10 * math.cos(2 * math.pi * k / n), 10 * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    wkt = "POLYGON((" + ", ".join(f"{x} {y}" for x, y in [*ring, ring[0]]) + "))"
+    slabs = P.region_slabs(spark.createDataFrame([(1, wkt, 0)], REGION)).collect()
+    assert sum(len(e) for r in slabs for e in r.edges) < 3 * n
+    assert any(not any(r.edges) and all(b == 1 for b in r.below) for r in slabs)
