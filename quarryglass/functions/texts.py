@@ -35,14 +35,19 @@ def description(score: Column, sharpness: Column) -> Column:
     return join_present(", ", F.concat(F.lit("Quality: "), score.cast("string"), F.lit("/100")), F.concat(F.lit("Sharpness: "), sharpness))
 
 
+def plain_number(x: Column) -> Column:
+    """A number as text without an exponent, with at least one and at most twelve decimals."""
+    return F.regexp_replace(x.cast("decimal(38,12)").cast("string"), r"(\.\d+?)0+$", "$1")
+
+
 def camera_info(f_number: Column, exposure: Column, iso: Column, focal: Column) -> Column:
     """``f/2.8, 0.01s, ISO 400, 50.0mm`` of what is present."""
     return join_present(
         ", ",
-        F.concat(F.lit("f/"), f_number.cast("string")),
-        F.concat(exposure.cast("string"), F.lit("s")),
+        F.concat(F.lit("f/"), plain_number(f_number)),
+        F.concat(plain_number(exposure), F.lit("s")),
         F.concat(F.lit("ISO "), iso.cast("string")),
-        F.concat(focal.cast("string"), F.lit("mm")),
+        F.concat(plain_number(focal), F.lit("mm")),
     )
 
 
@@ -93,7 +98,7 @@ def patterned_name(pattern: str, ts: Column, camera: Column, tags: Column, path:
     }
     for key, v in values.items():
         if "{" + key + "}" in pattern:
-            name = F.when(v.isNotNull(), F.replace(name, F.lit("{" + key + "}"), v)).otherwise(name)
+            name = F.replace(name, F.lit("{" + key + "}"), F.coalesce(v, F.lit("{" + key + "}")))
     ext = extension(path)
     full = sanitized(F.concat(name, ext))
     room = F.greatest(F.lit(0), longest - F.length(ext) - 10)
@@ -136,9 +141,9 @@ def seconds_text(s: Column) -> Column:
     return F.when(d < 60, F.concat(F.round(d, 0).cast("bigint").cast("string"), F.lit("s"))).when(d < 3600, F.concat(tenths(d / 60), F.lit("m"))).otherwise(F.concat(tenths(d / 3600), F.lit("h")))
 
 
-def named_objects(answer: Column, most: int = 100) -> Column:
+def named_objects(answer: Column) -> Column:
     """The items of a comma-separated model answer: trimmed, lower case, without empty ones."""
-    return F.slice(F.filter(F.transform(F.split(answer, ","), lambda x: F.lower(F.trim(x))), lambda x: x != ""), 1, most)
+    return F.filter(F.transform(F.split(answer, ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
 
 
 def product_names(objects: Column) -> Column:

@@ -1,5 +1,6 @@
 """Queries on derived columns: levels, tags, captions, names, formats."""
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarryglass.catalog import Catalog
@@ -27,6 +28,27 @@ def _sql_any(x: str, parts) -> str:
     return "(" + " OR ".join(f"contains({x}, '{p}')" for p in parts) + ")"
 
 
+def _sql_list(names) -> str:
+    return _sql_in(names).replace("(", "[").replace(")", "]")
+
+
+# the tables hold neither colour names nor faces: names stand for the warmth of a picture, and faces for its persons
+COLOR_NAMES = {"warm": ("orange", "red"), "cool": ("gray", "blue", "cyan"), "neutral": ("white",)}
+COLORS_SQL = "CASE color_temperature " + " ".join(f"WHEN '{k}' THEN {_sql_list(v)}" for k, v in COLOR_NAMES.items()) + " ELSE [] END"
+FACES_SQL = "coalesce(object_counts['face'], object_counts['person'], 0)"
+
+
+def color_names() -> Column:
+    out = F.array().cast("array<string>")
+    for k, v in COLOR_NAMES.items():
+        out = F.when(F.col("color_temperature") == k, F.array(*map(F.lit, v))).otherwise(out)
+    return out
+
+
+def faces() -> Column:
+    return F.coalesce(F.try_element_at("object_counts", F.lit("face")), F.try_element_at("object_counts", F.lit("person")), F.lit(0))
+
+
 _LIST = "list_filter([{0}], lambda x: x IS NOT NULL)"
 _SCENE = "lower(coalesce(primary_scene, ''))"
 _KNOWN = f"({_SCENE} <> '' AND {_SCENE} <> 'unknown')"
@@ -44,7 +66,7 @@ TAG_SQL = {
         f"CASE WHEN contains({_SHARP}, 'very_sharp') OR {_SHARP} = 'sharp' THEN 'sharp' WHEN contains({_SHARP}, 'very_blurry') THEN 'very_blurry' WHEN contains({_SHARP}, 'blurry') THEN 'blurry' END, "
         "CASE WHEN coalesce(sharpness_score, 0) > 500 THEN 'crisp' WHEN coalesce(sharpness_score, 0) < 100 THEN 'soft_focus' END"
     ),
-    "color": _LIST.format("CASE WHEN coalesce(brightness, 0) > 180 THEN 'bright' WHEN coalesce(brightness, 0) < 80 THEN 'dark' END, CASE WHEN coalesce(contrast, 0) > 60 THEN 'high_contrast' WHEN coalesce(contrast, 0) < 30 THEN 'low_contrast' END"),
+    "color": "list_slice(list_concat(flatten(list_transform(list_slice({n}, 1, 3), lambda x: {each})), {rest}), 1, 6)".replace("{n}", COLORS_SQL).replace("{each}", _LIST.format("x, " + _sql_group("x", W.COLOR_TONES) + " || '_tones'")).replace("{rest}", _LIST.format("CASE WHEN coalesce(brightness, 0) > 180 THEN 'bright' WHEN coalesce(brightness, 0) < 80 THEN 'dark' END, CASE WHEN coalesce(contrast, 0) > 60 THEN 'high_contrast' WHEN coalesce(contrast, 0) < 30 THEN 'low_contrast' END")),
     "temporal": _LIST.format(
         "'year_' || year(taken), CASE WHEN month(taken) IN (12, 1, 2) THEN 'winter' WHEN month(taken) IN (3, 4, 5) THEN 'spring' WHEN month(taken) IN (6, 7, 8) THEN 'summer' WHEN taken IS NOT NULL THEN 'fall' END, "
         "CASE WHEN hour(taken) BETWEEN 5 AND 11 THEN 'morning' WHEN hour(taken) BETWEEN 12 AND 16 THEN 'afternoon' WHEN hour(taken) BETWEEN 17 AND 20 THEN 'evening' WHEN taken IS NOT NULL THEN 'night' END, CASE WHEN isodow(taken) >= 6 THEN 'weekend' END"
@@ -59,30 +81,30 @@ TAG_SQL = {
         "CASE WHEN width > 0 AND height > 0 THEN CASE WHEN width / height BETWEEN 0.9 AND 1.1 THEN 'square' WHEN width / height > 1.7 THEN 'panoramic' WHEN width / height > 1.3 THEN 'landscape' WHEN width / height < 0.8 THEN 'portrait' END END, "
         "CASE WHEN width > 0 AND height > 0 AND (width >= 3840 OR height >= 2160) THEN '4k_plus' END, CASE WHEN orientation IN (6, 8) THEN 'rotated' END"
     ),
-    "people": "[CASE {n} WHEN 0 THEN 'no_people' WHEN 1 THEN 'single_person' WHEN 2 THEN 'couple' ELSE CASE WHEN {n} <= 5 THEN 'small_group' ELSE 'crowd' END END]".replace("{n}", f"coalesce(object_counts['person'], len(list_filter(coalesce({_UNIQUE}, []), lambda o: o = 'person')))"),
+    "people": _LIST.format("CASE {n} WHEN 0 THEN 'no_people' WHEN 1 THEN 'single_person' WHEN 2 THEN 'couple' ELSE CASE WHEN {n} <= 5 THEN 'small_group' ELSE 'crowd' END END, CASE WHEN " + FACES_SQL + " > 0 THEN 'has_faces' END").replace("{n}", f"coalesce(object_counts['person'], len(list_filter(coalesce({_UNIQUE}, []), lambda o: o = 'person')))"),
     "location": _LIST.format(
         f"CASE WHEN coalesce(gps_coordinates, '') <> '' THEN 'geotagged' END, CASE WHEN {_LAT} > 0 THEN 'northern_hemisphere' WHEN {_LAT} < 0 THEN 'southern_hemisphere' END, "
         f"CASE WHEN {_SCENE} IN {_sql_in(['indoor', *W.SCENE_PARENTS['indoor']])} THEN 'indoor' WHEN {_SCENE} IN {_sql_in(['outdoor', *W.SCENE_PARENTS['outdoor']])} THEN 'outdoor' END, CASE WHEN {_sql_any(_SCENE, W.URBAN)} THEN 'urban' END"
     ),
-    "mood": _LIST.format(f"CASE WHEN {_sql_any(_SCENE, W.ROMANTIC)} THEN 'romantic' END, CASE WHEN {_sql_any(_SCENE, W.PEACEFUL)} THEN 'peaceful' END, CASE WHEN {_sql_any(_SCENE, W.ENERGETIC)} THEN 'energetic' END"),
+    "mood": _LIST.format(f"CASE WHEN coalesce(brightness, 128) > 150 AND list_has_any({COLORS_SQL}, {_sql_list(W.CHEERFUL)}) THEN 'cheerful' END, CASE WHEN coalesce(brightness, 128) < 100 AND list_has_any({COLORS_SQL}, {_sql_list(W.MOODY)}) THEN 'moody' END, CASE WHEN {_sql_any(_SCENE, W.ROMANTIC)} THEN 'romantic' END, CASE WHEN {_sql_any(_SCENE, W.PEACEFUL)} THEN 'peaceful' END, CASE WHEN {_sql_any(_SCENE, W.ENERGETIC)} THEN 'energetic' END"),
 }
 
 
 def tag_columns() -> dict:
-    """The ten categories over the wide record; the pictures' colours have no names in these tables."""
-    col, no_colors = F.col, F.array().cast("array<string>")
+    """The ten categories over the wide record."""
+    col = F.col
     labels = V.distinct_labels(col("objects"))
     return {
         "scene": G.scene_tags(col("primary_scene"), col("scene_scores")),
         "objects": G.object_tags(labels),
         "quality": G.quality_tags(col("quality_score"), col("sharpness_level"), col("sharpness_score")),
-        "color": G.color_tags(no_colors, col("brightness"), col("contrast")),
+        "color": G.color_tags(color_names(), col("brightness"), col("contrast")),
         "temporal": G.temporal_tags(col("datetime_taken")),
         "technical": G.technical_tags(col("exposure_time"), col("iso_speed_ratings"), col("f_number"), col("flash") % 2 == 1, F.coalesce("model", "make")),
         "format": G.format_tags(col("width"), col("height"), col("orientation")),
-        "people": G.people_tags(col("object_counts"), labels, F.lit(0)),
+        "people": G.people_tags(col("object_counts"), labels, faces()),
         "location": G.location_tags(col("gps_coordinates"), col("primary_scene")),
-        "mood": G.mood_tags(col("brightness"), no_colors, col("primary_scene")),
+        "mood": G.mood_tags(col("brightness"), color_names(), col("primary_scene")),
     }
 
 
@@ -124,10 +146,11 @@ def register(c: Catalog) -> None:
         a = assets(spark, d)
         return a.select("file_id", Q.sharpness_level(F.col("sharpness_score")).alias("sharpness"), Q.exposure_level(F.col("brightness")).alias("exposure"), Q.color_temperature(F.col("warmth_score")).alias("temperature"), Q.quality_tier(F.col("quality_score")).alias("tier"))
 
-    @c.query("quality_score", f"""WITH {ASSET} SELECT file_id, floor(100 * greatest(0.0, least(100.0, 0.3 * greatest(0.0, 100.0 - 2.0 * noise_level) + 0.2 * least(100.0, 200 / 255.0 * 100.0)
+    @c.query("quality_score", f"""WITH {ASSET} SELECT file_id, floor(100 * greatest(0.0, least(100.0, 0.3 * greatest(0.0, 100.0 - 2.0 * noise_level) + 0.2 * least(100.0, least(255.0, 4 * contrast) / 255.0 * 100.0)
         + 0.3 * (100.0 - abs(127.5 - brightness) / 1.275) + 0.2 * least(100.0, contrast / 70.0 * 100.0))) + 1e-6)::BIGINT AS score FROM asset WHERE noise_level IS NOT NULL AND brightness IS NOT NULL AND contrast IS NOT NULL""")
     def score(spark, d):
-        s = Q.quality_score(F.col("noise_level"), F.lit(200), F.col("brightness"), F.col("contrast"))
+        # the tables hold no range of grey values: four deviations stand for it
+        s = Q.quality_score(F.col("noise_level"), F.least(F.lit(255.0), 4 * F.col("contrast")), F.col("brightness"), F.col("contrast"))
         return assets(spark, d).select("file_id", F.floor(100 * s + 1e-6).alias("score")).where("score IS NOT NULL")
 
     for name, sql in TAG_SQL.items():
@@ -175,20 +198,22 @@ def register(c: Catalog) -> None:
     def caption(spark, d):
         return assets(spark, d).select("file_id", X.caption(F.col("primary_scene"), V.distinct_labels(F.col("objects")), F.col("quality_score"), F.col("datetime_taken"), F.col("gps_coordinates")).alias("caption"))
 
-    @c.query("camera_info", f"WITH {ASSET} SELECT file_id, concat_ws(', ', 'ISO ' || iso_speed_ratings, focal_length::BIGINT || 'mm') AS info FROM asset")
+    _plain = "regexp_replace({0}::DECIMAL(38, 12)::VARCHAR, '(\\.\\d+?)0+$', '\\1')"
+
+    @c.query("camera_info", f"WITH {ASSET} SELECT file_id, concat_ws(', ', 'f/' || {_plain.format('f_number')}, {_plain.format('exposure_time')} || 's', 'ISO ' || iso_speed_ratings, {_plain.format('focal_length')} || 'mm') AS info FROM asset")
     def camera(spark, d):
-        none = F.lit(None).cast("double")
-        return assets(spark, d).select("file_id", X.camera_info(none, none, F.col("iso_speed_ratings"), F.round("focal_length").cast("bigint")).alias("info"))
+        return assets(spark, d).select("file_id", X.camera_info(F.col("f_number"), F.col("exposure_time"), F.col("iso_speed_ratings"), F.col("focal_length")).alias("info"))
 
     @c.query("description", f"WITH {ASSET} SELECT file_id, concat_ws(', ', 'Quality: ' || floor(quality_score)::BIGINT || '/100', 'Sharpness: ' || sharpness_level) AS description FROM asset")
     def description(spark, d):
         return assets(spark, d).select("file_id", X.description(F.floor("quality_score"), F.col("sharpness_level")).alias("description"))
 
-    @c.query("gps_decimal", "SELECT file_id, max(round(CASE WHEN latitude < 0 THEN -1 ELSE 1 END * (floor(abs(latitude)) + floor((abs(latitude) - floor(abs(latitude))) * 60) / 60.0), 8)) AS lat FROM image_metadata WHERE latitude IS NOT NULL GROUP BY file_id")
+    @c.query("gps_decimal", "SELECT file_id, max(round(CASE WHEN latitude < 0 THEN -1 ELSE 1 END * (floor(abs(latitude)) + floor((abs(latitude) - floor(abs(latitude))) * 60) / 60.0 + round(((abs(latitude) - floor(abs(latitude))) * 60 - floor((abs(latitude) - floor(abs(latitude))) * 60)) * 60, 2) / 3600.0), 7)) AS lat FROM image_metadata WHERE latitude IS NOT NULL GROUP BY file_id")
     def gps(spark, d):
         a = F.abs("latitude")
-        lat = X.decimal_degrees(F.floor(a), F.floor((a - F.floor(a)) * 60), F.lit(0), F.when(F.col("latitude") < 0, "S").otherwise("N"))
-        return table(spark, d, "image_metadata", "file_id", "latitude").where("latitude IS NOT NULL").groupBy("file_id").agg(F.max(F.round(lat, 8)).alias("lat"))
+        minutes = (a - F.floor(a)) * 60
+        lat = X.decimal_degrees(F.floor(a), F.floor(minutes), F.round((minutes - F.floor(minutes)) * 60, 2), F.when(F.col("latitude") < 0, "S").otherwise("N"))
+        return table(spark, d, "image_metadata", "file_id", "latitude").where("latitude IS NOT NULL").groupBy("file_id").agg(F.max(F.round(lat, 7)).alias("lat"))
 
     @c.query("snake_case", "SELECT DISTINCT p_name AS name, lower(regexp_replace(regexp_replace(replace(p_name, ' ', '') || 'IDValue', '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS snake FROM part")
     def snake(spark, d):
@@ -200,18 +225,10 @@ def register(c: Catalog) -> None:
     def sanitize(spark, d):
         return images(spark, d).select("file_id", X.sanitized(F.col("file_path")).alias("clean"))
 
-    @c.query("rename_plan", f"""WITH {ASSET}, w AS (SELECT file_path AS path, strftime(taken, '%Y-%m') || '_' || replace(model, ' ', '-') || lower(regexp_extract(file_path, '[^/\\\\](\\.[^./\\\\]+)$', 1)) AS w FROM asset WHERE taken IS NOT NULL AND model IS NOT NULL AND file_path IS NOT NULL),
+    @c.query("rename_plan", f"""WITH {ASSET}, w AS (SELECT file_path AS path, coalesce(strftime(taken, '%Y'), '{{year}}') || '-' || coalesce(strftime(taken, '%m'), '{{month}}') || '_' || coalesce(replace(model, ' ', '-'), '{{camera}}') || lower(regexp_extract(file_path, '[^/\\\\](\\.[^./\\\\]+)$', 1)) AS w FROM asset WHERE file_path IS NOT NULL),
         s AS (SELECT path, {_san.format('w')} AS w FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY path) - 1 AS seq FROM s), e AS (SELECT *, regexp_extract(w, '\\.[^.]*$') AS x FROM r)
         SELECT path, CASE WHEN seq = 0 THEN w ELSE w[1:len(w) - len(x)] || '_' || lpad(seq::VARCHAR, greatest(3, len(seq::VARCHAR))::INT, '0') || x END AS new_name, seq::INT AS seq FROM e""")
     def rename(spark, d):
-        a = assets(spark, d).where("datetime_taken IS NOT NULL AND model IS NOT NULL AND file_path IS NOT NULL")
-        wanted = X.patterned_name("{year}-{month}_{camera}", F.col("datetime_taken"), F.col("model"), F.col("tags"), F.col("file_path"))
-        return rename_plan(a.select(F.col("file_path").alias("path"), wanted.alias("wanted")))
-
-    @c.query("rename_plan_all", f"""WITH {ASSET}, w AS (SELECT file_path AS path, coalesce(strftime(taken, '%Y'), '{{year}}') || '-' || coalesce(strftime(taken, '%m'), '{{month}}') || '_' || coalesce(replace(model, ' ', '-'), '{{camera}}') || lower(regexp_extract(file_path, '[^/\\\\](\\.[^./\\\\]+)$', 1)) AS w FROM asset WHERE file_path IS NOT NULL),
-        s AS (SELECT path, {_san.format('w')} AS w FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY path) - 1 AS seq FROM s), e AS (SELECT *, regexp_extract(w, '\\.[^.]*$') AS x FROM r)
-        SELECT path, CASE WHEN seq = 0 THEN w ELSE w[1:len(w) - len(x)] || '_' || lpad(seq::VARCHAR, greatest(3, len(seq::VARCHAR))::INT, '0') || x END AS new_name, seq::INT AS seq FROM e""")
-    def rename_all(spark, d):
         a = assets(spark, d).where("file_path IS NOT NULL")
         wanted = X.patterned_name("{year}-{month}_{camera}", F.col("datetime_taken"), F.col("model"), F.col("tags"), F.col("file_path"))
         return rename_plan(a.select(F.col("file_path").alias("path"), wanted.alias("wanted")))
@@ -255,6 +272,9 @@ def register(c: Catalog) -> None:
         o = X.named_objects(F.concat(F.col("p_name"), F.lit(", "), F.col("p_brand"), F.lit(",,BOX "), F.col("p_type")))
         return table(spark, d, "part").select("p_partkey", F.array_join(o, "+").alias("objects"), F.get(X.product_names(o), F.lit(0)).alias("product"))
 
-    @c.query("answer_tags")
+    _words = "list_filter(list_transform(string_split_regex(lower(p_name || ', ' || p_type || '! The ' || p_brand || ' (' || p_name || ').'), '[\\s,]+'), lambda w: regexp_replace(w, '^[.,;:!?]+|[.,;:!?]+$', '', 'g')), lambda w: len(w) > 2 AND regexp_full_match(w, '\\p{L}+'))"
+
+    @c.query("answer_tags", f"SELECT DISTINCT p_partkey, array_to_string(list_slice({_distinct(_words)}, 1, 5), ',') AS tags FROM part")
     def answer_tags(spark, d):
-        return table(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", F.array_join(X.searchable_tags(F.col("text")), ",").alias("tags"))
+        text = F.concat(F.col("p_name"), F.lit(", "), F.col("p_type"), F.lit("! The "), F.col("p_brand"), F.lit(" ("), F.col("p_name"), F.lit(")."))
+        return table(spark, d, "part").select("p_partkey", F.array_join(X.searchable_tags(text), ",").alias("tags"))

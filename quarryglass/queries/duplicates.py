@@ -55,6 +55,21 @@ def register(c: Catalog) -> None:
     def totals(spark, d):
         return report_totals(hashed_files(spark, d), "digest")
 
+    _QUICK = "q AS (SELECT doc_id, text, CASE WHEN octet_length(encode(text)) <= 256 THEN md5(octet_length(encode(text)) || text) END AS quick FROM documents WHERE text IS NOT NULL AND octet_length(encode(text)) <= 256)"
+
+    @c.query("dedup_two_phase", f"WITH {_TEXTS} SELECT digest, count(*) AS files, min(path) AS first_path FROM texts WHERE digest IS NOT NULL GROUP BY digest HAVING count(*) > 1")
+    def two_phase(spark, d):
+        """Whole digests only of texts whose quick hash another text has too; the sets are those of all digests."""
+        t = table(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL")
+        few = quick_candidates(t.select("doc_id", "text", quick_hash(F.encode("text", "utf-8"), 256).alias("quick")), "quick")
+        return duplicate_sets(few.select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("digest")), "digest")
+
+    @c.query("dedup_quickhash_short", f"WITH {_QUICK} SELECT doc_id, quick FROM q")
+    def quick_short(spark, d):
+        """Quick hashes of texts up to the sample, which are read whole; SQL has no bytes to cut longer ones by."""
+        t = table(spark, d, "documents", "doc_id", "text").where("octet_length(text) <= 256")
+        return t.select("doc_id", quick_hash(F.encode("text", "utf-8"), 256).alias("quick"))
+
     @c.query("dedup_quickhash_candidates")
     def quick(spark, d):
         t = table(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", quick_hash(F.encode("text", "utf-8"), 256).alias("quick"))
@@ -73,7 +88,7 @@ def register(c: Catalog) -> None:
     def thumbnails(spark, d):
         return contents(spark, d).select("file_id", F.concat(F.substring(F.md5("image_path"), 1, 16), F.lit(".jpg")).alias("thumbnail"))
 
-    for t, bands in ((4, 6), (8, 11)):
+    for t, bands in ((4, 6), (8, 11), (12, 15)):
         @c.query(f"near_dup_value_pairs_t{t}", f"WITH {_HASHED}, v AS (SELECT DISTINCT bits FROM looks) SELECT a.bits::VARCHAR AS low, b.bits::VARCHAR AS high, bit_count(xor(a.bits, b.bits))::INT AS bits_apart FROM v a JOIN v b ON a.bits < b.bits AND bit_count(xor(a.bits, b.bits)) <= {t}")
         def pairs(spark, d, t=t, bands=bands):
             p = hamming_value_pairs(_looks(spark, d).select(F.col("bits").alias("value")), t, bands)
@@ -82,6 +97,9 @@ def register(c: Catalog) -> None:
             other = F.col("b").cast("decimal(20,0)") + F.when(F.col("b") < 0, F.lit(2).cast("decimal(20,0)") * F.lit(2**62).cast("decimal(20,0)") * 2).otherwise(0)
             return p.select(F.when(flip < other, text("a")).otherwise(text("b")).alias("low"), F.when(flip < other, text("b")).otherwise(text("a")).alias("high"), F.col("bits").alias("bits_apart"))
 
+        if t > 8:
+            continue
+
         @c.query(f"near_dup_groups_t{t}", f"""WITH RECURSIVE {_HASHED}, v AS (SELECT bits, min(file_id) AS rep FROM looks GROUP BY bits),
             e AS (SELECT a.rep AS x, b.rep AS y FROM v a JOIN v b ON bit_count(xor(a.bits, b.bits)) <= {t}),
             reach(n, root) AS (SELECT x, x FROM e UNION SELECT e.y, r.root FROM reach r JOIN e ON e.x = r.n WHERE r.root < e.y),

@@ -47,22 +47,12 @@ def register(c: Catalog) -> None:
         lib, tags = _library(spark, d)
         return search_library(lib, tags, resolution="1080p", limit=None)
 
-    @c.query("search_tags_any", f"WITH {LIBRARY} SELECT * FROM lib WHERE id IN (SELECT id FROM tags WHERE tag IN ('dog', 'cat')) AND quality IS NOT NULL AND duration IS NOT NULL")
-    def any_tag(spark, d):
-        lib, tags = _library(spark, d)
-        return with_any_tag(lib, tags, ["dog", "cat"]).where("quality IS NOT NULL AND duration IS NOT NULL")
-
-    @c.query("search_tags_any_all", f"WITH {LIBRARY} SELECT * FROM lib WHERE id IN (SELECT id FROM tags WHERE tag IN ('dog', 'cat'))")
+    @c.query("search_tags_any", f"WITH {LIBRARY} SELECT * FROM lib WHERE id IN (SELECT id FROM tags WHERE tag IN ('dog', 'cat'))")
     def any_tag_all(spark, d):
         lib, tags = _library(spark, d)
         return with_any_tag(lib, tags, ["dog", "cat"])
 
-    @c.query("search_categories", f"WITH {LIBRARY} SELECT * FROM lib WHERE id IN (SELECT id FROM tags WHERE category = 'object' AND tag IN ('person', 'car')) AND id IN (SELECT id FROM tags WHERE category = 'scene' AND tag IN ('city', 'outdoor')) AND quality IS NOT NULL AND duration IS NOT NULL")
-    def categories(spark, d):
-        lib, tags = _library(spark, d)
-        return with_categories(lib, tags, {"object": ["person", "car"], "scene": ["city", "outdoor"]}).where("quality IS NOT NULL AND duration IS NOT NULL")
-
-    @c.query("search_categories_all", f"WITH {LIBRARY} SELECT * FROM lib WHERE id IN (SELECT id FROM tags WHERE category = 'object' AND tag IN ('person', 'car')) AND id IN (SELECT id FROM tags WHERE category = 'scene' AND tag IN ('city', 'outdoor'))")
+    @c.query("search_categories", f"WITH {LIBRARY} SELECT * FROM lib WHERE id IN (SELECT id FROM tags WHERE category = 'object' AND tag IN ('person', 'car')) AND id IN (SELECT id FROM tags WHERE category = 'scene' AND tag IN ('city', 'outdoor'))")
     def categories_all(spark, d):
         lib, tags = _library(spark, d)
         return with_categories(lib, tags, {"object": ["person", "car"], "scene": ["city", "outdoor"]})
@@ -160,13 +150,9 @@ def register(c: Catalog) -> None:
         run = lambda cond: m.where(cond).groupBy(F.col("primary_scene").alias("scene")).agg(F.count(F.lit(1)).alias("n"))
         return run("scene_model = 'scene-b32'").transform(lambda a: run_comparison(a, run("scene_model <> 'scene-b32'"), "scene", "n"))
 
-    @c.query("phase_merge", f"WITH {ASSET} SELECT file_id, file_path, width, quality_score, primary_scene FROM asset WHERE width IS NOT NULL AND quality_score IS NOT NULL")
+    @c.query("phase_merge", f"WITH {ASSET} SELECT file_id, file_path, width::DOUBLE AS width, quality_score, primary_scene FROM asset")
     def merge(spark, d):
-        return assets(spark, d).select("file_id", "file_path", "width", "quality_score", "primary_scene").where("width IS NOT NULL AND quality_score IS NOT NULL")
-
-    @c.query("phase_merge_all")
-    def merge_all(spark, d):
-        return assets(spark, d).select("file_id", "file_path", "width", "quality_score", "primary_scene")
+        return assets(spark, d).select("file_id", "file_path", F.col("width").cast("double").alias("width"), "quality_score", "primary_scene")
 
     _cached = "cached AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY cached_at DESC) AS rn FROM file_cache) WHERE rn = 1)"
     _json = "try_cast(CASE WHEN json_valid(analysis_json) THEN analysis_json->>'primary_scene' END AS VARCHAR)"
@@ -182,10 +168,13 @@ def register(c: Catalog) -> None:
         new = analyses(spark, d).select("file_id", F.col("primary_scene").alias("scene"))
         return overlay_cache(table(spark, d, "image_metadata", "file_id").distinct(), new, old.select("file_id", F.when(whole, F.col("scene")).alias("scene")), "file_id", "scene")
 
-    @c.query("cache_fresh", f"WITH {_cached}, {IMG} SELECT c.file_id, c.file_path FROM cached c JOIN img i ON i.file_path = c.file_path AND i.file_size = c.file_size WHERE c.file_hash IS NOT NULL")
+    @c.query("cache_fresh", f"""WITH {_cached}, seen AS (SELECT file_path, CASE WHEN file_id % 7 = 0 THEN 'x' || file_hash ELSE file_hash END AS h, file_size + CASE WHEN file_id % 11 = 0 THEN 1 ELSE 0 END AS s, file_mtime + (file_id % 4) * 0.5::DOUBLE AS t FROM cached)
+        SELECT c.file_id, c.file_path FROM cached c JOIN seen n ON n.file_path = c.file_path AND n.h = c.file_hash AND n.s = c.file_size AND abs(c.file_mtime - n.t) < 1""")
     def fresh(spark, d):
+        # files as found later: some with other bytes, another size, or changed 0 to 1.5 seconds after
         old = cached(spark, d)
-        now = images(spark, d).join(old.select("file_path", "file_hash", "file_mtime"), "file_path").select("file_path", "file_hash", "file_size", "file_mtime")
+        i = F.col("file_id")
+        now = old.select("file_path", F.when(i % 7 == 0, F.concat(F.lit("x"), "file_hash")).otherwise(F.col("file_hash")).alias("file_hash"), (F.col("file_size") + F.when(i % 11 == 0, 1).otherwise(0)).alias("file_size"), (F.col("file_mtime") + (i % 4) * 0.5).alias("file_mtime"))
         return fresh_entries(old, now).select("file_id", "file_path")
 
     @c.query("cache_upsert", f"WITH {_cached}, n AS (SELECT file_path, max(file_hash) AS file_hash FROM duplication_result WHERE file_hash IS NOT NULL GROUP BY 1) SELECT file_path, file_hash FROM cached WHERE file_hash IS NOT NULL AND file_path NOT IN (SELECT file_path FROM n) UNION ALL SELECT file_path, file_hash FROM n")

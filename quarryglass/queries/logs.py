@@ -45,23 +45,21 @@ def register(c: Catalog) -> None:
         s = table(spark, d, "events").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("event_type") != "error").alias("done"), (sec(F.max("ts")) - sec(F.min("ts"))).alias("elapsed"))
         return s.select(*progress(F.col("total"), F.col("done"), F.col("elapsed")))
 
-    @c.query("duration_text", "SELECT event_id, CASE WHEN value < 60 THEN round(value, 0)::BIGINT || 's' ELSE NULL END AS text FROM events WHERE value < 60")
+    @c.query("duration_text", "SELECT event_id, CASE WHEN v < 60 THEN round(v, 0)::BIGINT || 's' WHEN v < 3600 THEN printf('%.1f', v / 60) || 'm' ELSE printf('%.1f', v / 3600) || 'h' END AS text FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN value * 100 ELSE value END AS v FROM events)")
     def durations(spark, d):
-        return table(spark, d, "events").where("value < 60").select("event_id", seconds_text(F.col("value")).alias("text"))
-
-    @c.query("duration_text_all", "SELECT event_id, CASE WHEN value < 60 THEN round(value, 0)::BIGINT || 's' WHEN value < 3600 THEN printf('%.1f', value / 60) || 'm' ELSE printf('%.1f', value / 3600) || 'h' END AS text FROM events")
-    def all_durations(spark, d):
-        return table(spark, d, "events").select("event_id", seconds_text(F.col("value")).alias("text"))
+        # errors took a hundred times as long, so that hours occur
+        v = F.when(F.col("event_type") == "error", F.col("value") * 100).otherwise(F.col("value"))
+        return table(spark, d, "events").select("event_id", seconds_text(v).alias("text"))
 
     @c.query("rate_limit_window", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events")
     def rate(spark, d):
         return trailing_count(table(spark, d, "events"), "ts", 3600, "user_id").select("event_id", "in_window")
 
-    @c.query("last_hour", "SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1")
+    @c.query("last_hour", "SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1")
     def last(spark, d):
         e = table(spark, d, "events")
         end = e.agg(F.max("ts").alias("_end"))
-        return e.crossJoin(F.broadcast(end)).where(F.col("ts") >= F.col("_end") - F.expr("INTERVAL 1 DAY")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+        return e.crossJoin(F.broadcast(end)).where(F.col("ts") >= F.col("_end") - F.expr("INTERVAL 1 HOUR")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
     @c.query("batch_chunks", "SELECT event_id, ((row_number() OVER (ORDER BY event_id) - 1) // 32)::BIGINT AS batch FROM events")
     def chunks(spark, d):

@@ -11,15 +11,12 @@ from quarryglass.sources.tables import table
 
 
 def register(c: Catalog) -> None:
-    @c.query("record_round_trip", f"WITH {IMG} SELECT file_id, width, model FROM img WHERE width IS NOT NULL AND model IS NOT NULL")
+    # integers as doubles, which keep their nulls in every reader
+    @c.query("record_round_trip", f"WITH {IMG} SELECT file_id, width::DOUBLE AS width, model, gps_coordinates, scanned_at FROM img")
     def round_trip(spark, d):
-        j = to_json_records(images(spark, d).select("file_id", "width", "model", "scanned_at"), "file_id")
-        return from_json_records(j, "file_id", "width int, model string, unknown double").where("width IS NOT NULL AND model IS NOT NULL").select("file_id", "width", "model")
-
-    @c.query("record_round_trip_all")
-    def round_trip_all(spark, d):
-        j = to_json_records(images(spark, d).select("file_id", "width", "model", "scanned_at"), "file_id")
-        return from_json_records(j, "file_id", "width int, model string, unknown double").select("file_id", "width", "model")
+        j = to_json_records(images(spark, d).select("file_id", "width", "model", "gps_coordinates", F.col("scanned_at").cast("timestamp").alias("scanned_at")), "file_id")
+        back = from_json_records(j, "file_id", "width int, model string, gps_coordinates string, scanned_at timestamp, unknown double")
+        return back.select("file_id", F.col("width").cast("double").alias("width"), "model", "gps_coordinates", F.col("scanned_at").cast("timestamp_ntz").alias("scanned_at"))
 
     _done = "list_filter([CASE WHEN width IS NOT NULL THEN 'metadata' END, CASE WHEN quality_score IS NOT NULL THEN 'content' END, CASE WHEN primary_scene IS NOT NULL THEN 'ml' END], lambda x: x IS NOT NULL)"
 
