@@ -99,11 +99,15 @@ def patterned_name(pattern: str, ts: Column, camera: Column, tags: Column, path:
     for key, v in values.items():
         if "{" + key + "}" in pattern:
             name = F.replace(name, F.lit("{" + key + "}"), F.coalesce(v, F.lit("{" + key + "}")))
-    ext = extension(path)
-    full = sanitized(F.concat(name, ext))
-    room = F.greatest(F.lit(0), longest - F.length(ext) - 10)
-    stem = F.substring(full, F.lit(1), F.greatest(F.lit(0), F.length(full) - F.length(ext)))
-    return F.when(F.length(full) <= longest, full).otherwise(F.concat(F.substring(stem, F.lit(1), room), ext))
+    # one lambda, so that the name is worked out once and not at each place that needs it
+    parts = F.struct(sanitized(F.concat(name, extension(path))).alias("full"), extension(path).alias("ext"))
+
+    def cut(p: Column) -> Column:
+        full, ext = p["full"], p["ext"]
+        stem = F.substring(full, F.lit(1), F.greatest(F.lit(0), F.length(full) - F.length(ext)))
+        return F.when(F.length(full) <= longest, full).otherwise(F.concat(F.substring(stem, F.lit(1), F.greatest(F.lit(0), longest - F.length(ext) - 10)), ext))
+
+    return F.get(F.transform(F.array(parts), cut), F.lit(0))
 
 
 NAME_PATTERN = r"(?i)^img_(\d{8}_\d{6})_([a-f0-9]{8})\.(\w+)$"

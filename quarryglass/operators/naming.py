@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryglass.plans.cut import Scratch
+
 
 def rename_plan(files: DataFrame, wanted: str = "wanted", order: str = "path", suffix: str = "_%03d") -> DataFrame:
     """``(path, new_name, seq)``: a name of its own for every file that wants one.
@@ -19,7 +21,8 @@ def rename_plan(files: DataFrame, wanted: str = "wanted", order: str = "path", s
     parts = re.fullmatch(r"([^%]*[^%\d])%(?:0\d+)?d([^%\d][^%]*|)", suffix)
     if not parts:
         raise ValueError("a suffix such as _%03d is needed")
-    base = files.where(F.col(wanted).isNotNull()).select(F.col(order).alias("path"), F.col(wanted).alias("w"))
+    # written, as the names are read twice
+    base = Scratch(files.sparkSession, "names").write(files.where(F.col(wanted).isNotNull()).select(F.col(order).alias("path"), F.col(wanted).alias("w")))
     ext = F.regexp_extract("w", r"[^/\\](\.[^./\\]*)$", 1)
 
     # the wanted names that a group could generate, as the group's name and the number; the greedy stem leaves the last digits
