@@ -33,6 +33,19 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def digest_by_name(content: Column, name: str = "sha256") -> Column:
+    """The hex digest of a text or bytes by ``md5``, ``sha1`` or ``sha256``; another name raises ``ValueError``."""
+    known = {"md5": F.md5, "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256)}
+    if name not in known:
+        raise ValueError(f"unknown digest {name}")
+    return known[name](content)
+
+
+def look_by_name(hashes: dict[str, Column], name: str = "phash") -> Column:
+    """One of the perceptual hashes by its name; an unknown name gives ``phash``."""
+    return hashes.get(name, hashes["phash"])
+
+
 def path_key(c: Column) -> Column:
     """A path without white space around, with single forward separators; null for null and blank."""
     x = F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"[\\/]+", "/")

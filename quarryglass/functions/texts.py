@@ -150,6 +150,16 @@ def named_objects(answer: Column) -> Column:
     return F.filter(F.transform(F.split(answer, ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
 
 
+def first_word(answer: Column) -> Column:
+    """The first word of a model's answer in lower case; ``unknown`` for null and blank."""
+    return F.coalesce(F.nullif(F.lower(F.regexp_extract(answer, r"^\s*(\S+)", 1)), F.lit("")), F.lit("unknown"))
+
+
+def status_text(**parts: Column) -> Column:
+    """``name: value`` of the parts that are not null, joined by a spaced bar."""
+    return join_present(" | ", *(F.concat(F.lit(f"{k}: "), v.cast("string")) for k, v in parts.items()))
+
+
 def product_names(objects: Column) -> Column:
     """The objects that speak of a product."""
     return F.filter(objects, lambda o: F.exists(F.array(*map(F.lit, V.PRODUCTS)), lambda p: F.contains(o, p)))

@@ -8,6 +8,7 @@ from quarryglass.functions.quality import quality_band, quality_tier
 from quarryglass.operators.assets import fresh_entries, latest, overlay_cache, remaining, upserted
 from quarryglass.operators.search import has_all, search_library, with_any_tag, with_categories
 from quarryglass.operators.summaries import detection_summary, error_summary, run_comparison, share, top_per_group, top_values
+from quarryglass.plans.cut import Scratch
 from quarryglass.queries.common import ASSET, CON, IMG, ML, analyses, assets, contents, images
 from quarryglass.queries.derived import FLAT_SQL, flat
 from quarryglass.sources.cache import cache_stats
@@ -27,6 +28,13 @@ def _library(spark, d):
     return lib, tags
 
 
+def written_library(spark, d):
+    """The same, written once: a search with several conditions reads it several times."""
+    lib, tags = _library(spark, d)
+    scratch = Scratch(spark, "library")
+    return scratch.write(lib, "files"), scratch.write(tags, "tags")
+
+
 LIBRARY = f"""{ASSET}, times AS (SELECT file_id, inference_time FROM ml),
 lib AS (SELECT a.file_id AS id, width || 'x' || height AS resolution, inference_time AS duration, quality_score AS quality FROM asset a LEFT JOIN times USING (file_id)),
 tags AS (SELECT DISTINCT * FROM (SELECT file_id AS id, 'quality' AS category, CASE WHEN quality_score >= 90 THEN 'high' WHEN quality_score >= 70 THEN 'good' WHEN quality_score IS NOT NULL THEN 'low' END || '-quality' AS tag FROM asset
@@ -39,22 +47,22 @@ def register(c: Catalog) -> None:
     @c.query("search_library", f"""WITH {LIBRARY} SELECT id, resolution, duration, quality FROM lib WHERE id IN (SELECT id FROM tags WHERE category = 'quality' AND tag = 'high-quality')
         AND id IN (SELECT id FROM tags WHERE category = 'scene' AND contains(lower(tag), 'out')) AND duration >= 20 AND duration <= 150 ORDER BY quality DESC NULLS LAST, duration DESC NULLS LAST, id LIMIT 20""")
     def search(spark, d):
-        lib, tags = _library(spark, d)
+        lib, tags = written_library(spark, d)
         return search_library(lib, tags, quality="high", scene="OUT", min_duration=20, max_duration=150, limit=20)
 
     @c.query("search_resolution", f"WITH {LIBRARY} SELECT id, resolution, duration, quality FROM lib WHERE contains(resolution, '1920')")
     def resolution(spark, d):
-        lib, tags = _library(spark, d)
+        lib, tags = written_library(spark, d)
         return search_library(lib, tags, resolution="1080p", limit=None)
 
     @c.query("search_tags_any", f"WITH {LIBRARY} SELECT * FROM lib WHERE id IN (SELECT id FROM tags WHERE tag IN ('dog', 'cat'))")
     def any_tag_all(spark, d):
-        lib, tags = _library(spark, d)
+        lib, tags = written_library(spark, d)
         return with_any_tag(lib, tags, ["dog", "cat"])
 
     @c.query("search_categories", f"WITH {LIBRARY} SELECT * FROM lib WHERE id IN (SELECT id FROM tags WHERE category = 'object' AND tag IN ('person', 'car')) AND id IN (SELECT id FROM tags WHERE category = 'scene' AND tag IN ('city', 'outdoor'))")
     def categories_all(spark, d):
-        lib, tags = _library(spark, d)
+        lib, tags = written_library(spark, d)
         return with_categories(lib, tags, {"object": ["person", "car"], "scene": ["city", "outdoor"]})
 
     @c.query("filter_tags_all", f"WITH {FLAT_SQL} SELECT file_id FROM flat WHERE list_contains(tags, 'outdoor') AND list_contains(tags, 'geotagged')")

@@ -14,29 +14,32 @@ from quarryglass.streaming.logs import log_stream, run_to_end, windowed_counts
 _LOG = "log AS (SELECT event_type AS name, value AS duration_ms, (props->>'k')::INT AS image_count, ts FROM events)"
 
 
-def _log(spark, d):
+METRICS_SQL = f"""WITH {_LOG}, s AS (SELECT name, list_sort(list(duration_ms)) AS v, sum(image_count) AS images, sum(duration_ms::DECIMAL(18, 4)) AS total FROM log WHERE duration_ms IS NOT NULL GROUP BY name)
+        SELECT name, len(v) AS calls, images::BIGINT AS images, round((total / len(v))::DOUBLE, 2) AS mean_ms, round((v[(len(v) - 1) // 2 + 1] + v[len(v) // 2 + 1]) / 2, 2) AS median_ms,
+        round(CASE WHEN len(v) < 2 THEN (total / len(v))::DOUBLE ELSE v[least(floor(0.95 * len(v))::INT, len(v) - 1) + 1] END, 2) AS p95_ms, round(images / (total / 1000)::DOUBLE, 2) AS per_second FROM s"""
+
+
+def log_rows(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
     return table(spark, d, "events").select(F.col("event_type").alias("name"), F.col("value").alias("duration_ms"), k.alias("image_count"), "ts")
 
 
 def register(c: Catalog) -> None:
-    @c.query("model_metrics", f"""WITH {_LOG}, s AS (SELECT name, list_sort(list(duration_ms)) AS v, sum(image_count) AS images, sum(duration_ms::DECIMAL(18, 4)) AS total FROM log WHERE duration_ms IS NOT NULL GROUP BY name)
-        SELECT name, len(v) AS calls, images::BIGINT AS images, round((total / len(v))::DOUBLE, 2) AS mean_ms, round((v[(len(v) - 1) // 2 + 1] + v[len(v) // 2 + 1]) / 2, 2) AS median_ms,
-        round(CASE WHEN len(v) < 2 THEN (total / len(v))::DOUBLE ELSE v[least(floor(0.95 * len(v))::INT, len(v) - 1) + 1] END, 2) AS p95_ms, round(images / (total / 1000)::DOUBLE, 2) AS per_second FROM s""")
+    @c.query("model_metrics", METRICS_SQL)
     def metrics(spark, d):
-        return latency_metrics(_log(spark, d))
+        return latency_metrics(log_rows(spark, d))
 
     @c.query("phase_summary", f"WITH {_LOG} SELECT name, count(*) AS calls, round(sum(duration_ms), 2) AS total_ms FROM log GROUP BY name")
     def phases(spark, d):
-        return _log(spark, d).groupBy("name").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("duration_ms"), 2).alias("total_ms"))
+        return log_rows(spark, d).groupBy("name").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("duration_ms"), 2).alias("total_ms"))
 
     @c.query("overall_throughput", f"WITH {_LOG} SELECT sum(image_count)::BIGINT AS images, round(sum(image_count) / (sum(duration_ms) / 1000), 4) AS per_second, round(max(duration_ms), 3) AS peak_ms FROM log")
     def overall(spark, d):
-        return _log(spark, d).agg(F.sum("image_count").alias("images"), F.round(F.sum("image_count") / (F.sum("duration_ms") / 1000), 4).alias("per_second"), F.round(F.max("duration_ms"), 3).alias("peak_ms"))
+        return log_rows(spark, d).agg(F.sum("image_count").alias("images"), F.round(F.sum("image_count") / (F.sum("duration_ms") / 1000), 4).alias("per_second"), F.round(F.max("duration_ms"), 3).alias("peak_ms"))
 
     @c.query("benchmark_speedup", f"WITH {_LOG}, r AS (SELECT name, round(sum(duration_ms) / 1000, 6) AS seconds FROM log GROUP BY name) SELECT name, seconds, round(first(seconds ORDER BY name) OVER w / seconds, 4) AS speedup, seconds = min(seconds) OVER () AS best FROM r WINDOW w AS (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)".replace("first(seconds ORDER BY name) OVER w", "first_value(seconds) OVER w"))
     def speed(spark, d):
-        runs = _log(spark, d).groupBy("name").agg(F.round(F.sum("duration_ms") / 1000, 6).alias("seconds"))
+        runs = log_rows(spark, d).groupBy("name").agg(F.round(F.sum("duration_ms") / 1000, 6).alias("seconds"))
         return speedups(runs, "name", "seconds", "name")
 
     @c.query("eta", "WITH s AS (SELECT count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS done, epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6 AS elapsed FROM events) SELECT round(100.0 * done / total, 2) AS pct, round(done / elapsed, 4) AS rate, round((total - done) / (done / elapsed), 2) AS eta_s FROM s")

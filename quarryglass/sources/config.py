@@ -6,6 +6,7 @@ import copy
 from pathlib import Path
 from typing import Any
 
+# Names of settings, their defaults, and what they may be.
 DEFAULTS: dict[str, Any] = {
     "ml": {"batch_size": 8, "min_confidence": 0.6, "precision": "fp32"},
     "deduplication": {"hash_algorithm": "sha256", "keep_strategy": "highest_quality", "perceptual_threshold": 8},

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryglass.functions.texts import extension
-from quarryglass.functions.vocabulary import IMAGE_EXTENSIONS
+from quarryglass.functions.vocabulary import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
 
 
 def is_image(path: Column) -> Column:
@@ -16,8 +17,13 @@ def is_image(path: Column) -> Column:
     return extension(path).isin(*IMAGE_EXTENSIONS)
 
 
-def scan(spark: SparkSession, roots: list[str], recursive: bool = True, content: bool = False) -> DataFrame:
-    """``(path, modificationTime, length[, content])`` of the pictures below the roots, each path once, in the order of paths.
+def is_video(path: Column) -> Column:
+    """Whether the suffix is one of a video, in any case."""
+    return extension(path).isin(*VIDEO_EXTENSIONS)
+
+
+def scan(spark: SparkSession, roots: list[str], recursive: bool = True, content: bool = False, wanted: Callable[[Column], Column] = is_image) -> DataFrame:
+    """``(path, modificationTime, length[, content])`` of the pictures (or what is ``wanted``) below the roots, each path once, in the order of paths.
 
     The bytes are only read if ``content`` is asked for. Roots that don't exist raise; no roots are an error.
     """
@@ -25,13 +31,13 @@ def scan(spark: SparkSession, roots: list[str], recursive: bool = True, content:
         raise ValueError("At least one source directory is needed")
     read = lambda r: spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(r)
     cols = ["path", "modificationTime", "length", *["content"] * content]
-    found = reduce(DataFrame.unionByName, (read(r).select(*cols) for r in roots)).where(is_image(F.col("path")))
+    found = reduce(DataFrame.unionByName, (read(r).select(*cols) for r in roots)).where(wanted(F.col("path")))
     return found.dropDuplicates(["path"]).orderBy("path")
 
 
-def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A report of one JSON array; unknown keys are dropped, missing ones are null."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def read_report(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """A report of one JSON array, or of JSON ``lines``; unknown keys are dropped, missing ones are null."""
+    return spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
 
 
 def write_report(df: DataFrame, path: str, kind: str = "json") -> None:

@@ -44,3 +44,16 @@ def each_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, in
     """Give each micro-batch to ``work`` with its number; a resumed run starts after the last finished batch."""
     q = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def poll(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None], every: str = "30 seconds", until: Callable[[], bool] | None = None) -> None:
+    """Give what is new to ``work`` at each tick of ``every``; stops once ``until`` says so, or else when all that is there is done."""
+    q = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    try:
+        if until is None:
+            q.processAllAvailable()
+        else:
+            while not until() and q.isActive:
+                q.awaitTermination(1)
+    finally:
+        q.stop()
