@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quarryglass.catalog import Catalog
 from quarryglass.functions.keys import digest_by_name, look_by_name
-from quarryglass.functions.texts import first_word, status_text
+from quarryglass.functions.texts import first_word, plain_number, status_text
 from quarryglass.operators.dedup import survivors_by
 from quarryglass.operators.layout import destinations
 from quarryglass.operators.search import search
@@ -26,6 +26,7 @@ LIMIT, SECONDS = 3, 43_200
 _DIR = "regexp_extract(file_path, '^(.*)[/\\\\][^/\\\\]*$', 1)"
 _BASE = "regexp_extract(file_path, '([^/\\\\]*)$', 1)"
 _STAMP = "20240131_120000"
+_PLAIN = "regexp_replace({0}::DECIMAL(38, 12)::VARCHAR, '(\\.\\d+?)0+$', '\\1')"
 
 #: Requests of a caller one after another, with the list of kept times.
 WAITS_SQL = f"""
@@ -224,9 +225,9 @@ def register(c: Catalog) -> None:
         a = assets(spark, d).select("file_id", "ml_error", "hash_error", F.array().cast("array<string>").alias("errors"))
         return with_error(with_error(a, "ml", "ml_error"), "hash", "hash_error").select("file_id", F.array_join("errors", ";").alias("errors"))
 
-    @c.query("metadata_records", f"WITH {IMG} SELECT file_id, {_BASE} AS file_name, round(width * height / 1e6, 2) AS megapixels, coalesce(datetime_original, strftime(scanned_at, '%Y:%m:%d %H:%M:%S')) AS taken, CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN (round(latitude, 4)::DECIMAL(9, 4))::VARCHAR || ', ' || (round(longitude, 4)::DECIMAL(9, 4))::VARCHAR END AS gps FROM img")
+    @c.query("metadata_records", f"WITH {IMG} SELECT file_id, {_BASE} AS file_name, round(width::DECIMAL(18, 0) * height / 1000000, 2)::DOUBLE AS megapixels, coalesce(datetime_original, strftime(scanned_at, '%Y:%m:%d %H:%M:%S')) AS taken, CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN {_PLAIN.format('latitude')} || ', ' || {_PLAIN.format('longitude')} END AS gps FROM img")
     def metadata(spark, d):
         i = images(spark, d)
-        place = F.concat_ws(", ", *(F.round(x, 4).cast("decimal(9,4)").cast("string") for x in ("latitude", "longitude")))
-        mp = F.round(F.col("width").cast("double") * F.col("height") / 1e6, 2)
+        place = F.concat_ws(", ", *(plain_number(F.col(x)) for x in ("latitude", "longitude")))
+        mp = F.round(F.col("width").cast("decimal(18,0)") * F.col("height") / 1_000_000, 2).cast("double")
         return i.select("file_id", F.regexp_extract("file_path", r"([^/\\]*)$", 1).alias("file_name"), mp.alias("megapixels"), F.coalesce("datetime_original", F.date_format("scanned_at", "yyyy:MM:dd HH:mm:ss")).alias("taken"), F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), place).alias("gps"))
