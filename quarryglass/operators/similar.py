@@ -40,17 +40,21 @@ def block_keys(values: DataFrame, distance: int, bands: int) -> DataFrame:
 def hamming_value_pairs(values: DataFrame, distance: int, bands: int | None = None, rows_per_task: int = 20_000) -> DataFrame:
     """``(a, b, bits)``, a < b: all pairs of distinct values of the BIGINT column ``value`` within ``distance`` bits.
 
-    Exact, by :func:`block_masks` (``distance + 2`` bands unless given) and a check of each pair that shares a key; a key
-    of very many values is split over tasks. A negative distance gives none. Null values match nothing.
+    Exact, by :func:`block_masks` (``distance + 2`` bands unless given) and a check of each pair that shares a key; of several
+    shared keys only the first gives the pair. A key of very many values is split over tasks. A negative distance gives none. Null values match nothing.
     """
     spark = values.sparkSession
     if distance < 0:
         return spark.createDataFrame([], "a bigint, b bigint, bits int")
-    keys = block_keys(values.where("value IS NOT NULL").select("value").distinct(), distance, bands or min(64, distance + 2))
+    bands = bands or min(64, distance + 2)
+    keys = block_keys(values.where("value IS NOT NULL").select("value").distinct(), distance, bands)
     keys = Scratch(spark, "blocks").write(keys)
     met = salted_join(keys.withColumnRenamed("value", "a"), keys.withColumnRenamed("value", "b"), ["mask_no", "key"], "a", rows_per_task)
     bits = hamming(F.col("a"), F.col("b")).cast("int")
-    return met.where((F.col("a") < F.col("b")) & (bits <= distance)).select("a", "b", bits.alias("bits")).distinct()
+    near = met.where((F.col("a") < F.col("b")) & (bits <= distance))
+    masks = ", ".join(f"CAST({m} AS BIGINT)" for m in block_masks(distance, bands))
+    first = near.where(f"NOT exists(slice(array({masks}), 1, mask_no), m -> ((a ^ b) & m) = 0)")
+    return first.select("a", "b", bits.alias("bits"))
 
 
 def similar_groups(files: DataFrame, distance: int, bands: int | None = None) -> DataFrame:

@@ -47,15 +47,23 @@ def run_comparison(a: DataFrame, b: DataFrame, key: str, count: str) -> DataFram
     return j.withColumn("change", F.col("n_b") - F.col("n_a"))
 
 
-def latency_metrics(log: DataFrame, name: str = "name", ms: str = "duration_ms", images: str = "image_count") -> DataFrame:
+def latency_metrics(log: DataFrame, name: str = "name", ms: str = "duration_ms", images: str = "image_count", rows_per_range: int = 1_000_000) -> DataFrame:
     """Per name: calls, mean, median, the 95th percentile by the rule below, images per second.
 
     The percentile is the element at place ``int(0.95 n)`` (from 0) of the sorted values, the last at most, and the mean of
-    a single value. Elements come from exact counts per value, so that no list of all values is built.
+    a single value. Elements come from exact counts per value, so that no list of all values is built; the counts are
+    summed within ranges of about ``rows_per_range`` and shifted by prefix sums over the ranges, so that a name with very
+    many values is no task of its own.
     """
-    c = log.where(F.col(ms).isNotNull()).groupBy(name, ms).agg(F.count(F.lit(1)).alias("_c"), F.sum(images).alias("_i"))
+    scratch = Scratch(log.sparkSession, "latency")
+    c, distinct = scratch.write_counted(log.where(F.col(ms).isNotNull()).groupBy(name, ms).agg(F.count(F.lit(1)).alias("_c"), F.sum(images).alias("_i")), "counts")
+    c = scratch.write(c.repartitionByRange(max(1, -(-distinct // rows_per_range)), name, ms).withColumn("_p", F.spark_partition_id()), "ranges")
+    sums = c.groupBy("_p", name).agg(F.sum("_c").alias("_s"))
     w = Window.partitionBy(name)
-    c = c.withColumns({"_n": F.sum("_c").over(w), "_upto": F.sum("_c").over(w.orderBy(ms).rowsBetween(Window.unboundedPreceding, 0))})
+    sums = sums.select("_p", F.col(name).alias("_name"), F.sum("_s").over(w).alias("_n"), F.coalesce(F.sum("_s").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    c = c.join(sums, (c["_p"] == sums["_p"]) & c[name].eqNullSafe(sums["_name"])).drop(sums["_p"])
+    inside = Window.partitionBy("_p", name).orderBy(ms).rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
     at = F.least(F.floor(0.95 * F.col("_n")), F.col("_n") - 1)
     mid = lambda k: F.min(F.when(F.col("_upto") > k, F.col(ms)))
     n = F.col("_n")

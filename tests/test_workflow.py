@@ -148,3 +148,20 @@ def test_scan_of_videos(spark, tmp_path):
         (tmp_path / n).write_bytes(b"x")
     names = lambda df: [r.path.rpartition("/")[2] for r in df.collect()]
     assert names(scan(spark, [str(tmp_path)], wanted=is_video)) == ["a.MP4"] and names(scan(spark, [str(tmp_path)])) == ["b.jpg"]
+
+
+def test_metrics_over_many_ranges(spark):
+    import random
+    import statistics
+
+    from quarryglass.operators.summaries import latency_metrics
+
+    rnd = random.Random(4)
+    log = [(rnd.choice(["a", "b", "b", "b", None]), float(rnd.randrange(300)), 2) for _ in range(1_500)] + [("once", 7.0, 1), ("none", None, 1)]
+    df = spark.createDataFrame(log, "name string, duration_ms double, image_count int")
+    got = {r.name: r for r in latency_metrics(df, rows_per_range=37).collect()}
+    for n in ("a", "b", None, "once"):
+        v = sorted(x for m, x, _ in log if m == n and x is not None)
+        assert got[n].calls == len(v) and got[n].median_ms == round(statistics.median(v), 2)
+        assert got[n].p95_ms == round(v[min(int(0.95 * len(v)), len(v) - 1)] if len(v) > 1 else v[0], 2)
+    assert set(got) == {"a", "b", None, "once"}
