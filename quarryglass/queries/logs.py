@@ -100,6 +100,20 @@ def register(c: Catalog) -> None:
         mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / 64
         return s.select("vec_id", F.floor(mean * 10 + 1e-6).alias("brightness"), F.floor((F.array_max("v") - F.array_min("v")) * 10 + 1e-6).alias("spread"))
 
+    _at = "g[({0}) * 8 + ({1}) + 1]"
+    _up, _down = "CASE WHEN k // 8 = 0 THEN 1 ELSE k // 8 - 1 END", "CASE WHEN k // 8 = 7 THEN 6 ELSE k // 8 + 1 END"
+    _left, _right = "CASE WHEN k % 8 = 0 THEN 1 ELSE k % 8 - 1 END", "CASE WHEN k % 8 = 7 THEN 6 ELSE k % 8 + 1 END"
+    _lap = " + ".join((_at.format(_up, "k % 8"), _at.format(_down, "k % 8"), _at.format("k // 8", _left), _at.format("k // 8", _right))) + " - 4 * g[k + 1]"
+
+    @c.query("pixel_sharpness", f"WITH p AS (SELECT vec_id, {_GREY} AS g FROM embeddings), l AS (SELECT vec_id, list_transform(range(64), lambda k: {_lap}) AS x FROM p) SELECT vec_id, floor(round(list_var_pop(x), 2) + 1e-6)::BIGINT AS sharpness, floor(round(list_stddev_pop(x), 2) * 10 + 1e-6)::BIGINT AS noise FROM l")
+    def sharpness(spark, d):
+        s = pictures(spark, d).select("vec_id", pixel_statistics("picture").alias("s"))
+        return s.select("vec_id", F.floor(F.col("s.sharpness") + 1e-6).alias("sharpness"), F.floor(F.col("s.noise") * 10 + 1e-6).alias("noise"))
+
+    @c.query("average_hashes", f"WITH p AS (SELECT vec_id, {_GREY} AS g FROM embeddings), b AS (SELECT vec_id, list_transform(g, lambda x: (x > list_avg(g))::INT) AS b FROM p) SELECT vec_id, list_aggregate(list_transform(range(16), lambda i: printf('%x', 8 * b[4 * i + 1] + 4 * b[4 * i + 2] + 2 * b[4 * i + 3] + b[4 * i + 4])), 'string_agg', '') AS average FROM b")
+    def average(spark, d):
+        return pictures(spark, d).select("vec_id", perceptual_hashes("picture").alias("h")).select("vec_id", "h.average")
+
     @c.query("pixel_statistics")
     def statistics(spark, d):
         return pictures(spark, d).select("vec_id", pixel_statistics("picture").alias("s")).select("vec_id", "s.*")
