@@ -38,8 +38,8 @@ LEAST_EVIDENCE, LEAST_STOPS, STOP_SHARE = 5, 20, 0.9
 FINAL_SHARE, LEAST_FOLLOWERS = 0.01, 8
 #: Distinct words a task counts before it hands on its counts.
 WORDS_HELD = 500_000
-#: Function words that show a language to be one of a document's, or their share of those of its most frequent one.
-LANGUAGE_WORDS, LANGUAGE_SHARE = 2, 0.2
+#: Function words that show a language to be one of a document's: its lists hold, as a sentence of it may be quoted.
+LANGUAGE_WORDS = 1
 
 # Common abbreviations by language. These don't end a sentence, as a name or number follows them.
 LEADING = {
@@ -227,7 +227,7 @@ class Document:
         words = Counter(self._lower.split())
         n = {k: sum(words[w] for w in ws) for k, ws in FUNCTION_WORDS.items()}
         top = max(n.values())
-        return frozenset(k for k in LEADING.keys() | ENDING.keys() if n.get(k, top) >= min(LANGUAGE_WORDS, top * LANGUAGE_SHARE))
+        return frozenset(k for k in LEADING.keys() | ENDING.keys() if n.get(k, top) >= min(LANGUAGE_WORDS, top))
 
     def _listed(self, word: str) -> str:
         return next((kind for kind, language in LISTED.get(word, ()) if language in self.languages), "")
