@@ -306,19 +306,23 @@ class Linker:
 
     def find(self, nodes: DataFrame, upto: int) -> DataFrame:
         """``(node, root)`` of the given nodes: parents are followed until there is none. Reads only partitions of those nodes."""
-        scratch = Scratch(self.spark, "find")
-        at = scratch.write(nodes.select("node", F.col("node").alias("root")), "0")
-        k = 0
+        at = nodes.select("node", F.col("node").alias("root"))
+        if not any(e["patterns"] for e in self.log[:upto]):
+            return at
+        scratch, k = Scratch(self.spark, "find"), 0
         while True:
             log = self._parents(upto)
-            wanted = at.select("root").distinct()
             if self.parts > 1:
-                met = [r.part for r in wanted.selectExpr(f"{_part('root', self.parts)} AS part").distinct().collect()]
+                at = scratch.write(at, f"at{k}")
+                met = [r.part for r in at.selectExpr(f"{_part('root', self.parts)} AS part").distinct().collect()]
                 log = log.where(F.col("part").isin(met))
-            up = log.join(wanted, log.node == wanted.root, "left_semi").groupBy("node").agg(F.max_by("root", "step").alias("up"))
-            k += 1
+            last = log.groupBy("node").agg(F.max_by("root", "step").alias("up"))
+            up = lambda c, to: last.select(F.col("node").alias(c), F.col("up").alias(to))
+            # two steps up in one job: where the second leads nowhere, the first was the root
+            hop = at.join(up("root", "_1"), "root", "left").withColumn("_1", F.coalesce("_1", "root"))
+            moved = hop.join(up("_1", "_2"), "_1", "left").select("node", F.coalesce("_2", "_1").alias("root"), (F.col("_2") != F.col("_1")).alias("moved")) if self.parts == 1 else hop.select("node", F.col("_1").alias("root"), (F.col("_1") != F.col("root")).alias("moved"))
             seen = Observation()
-            moved = at.join(up.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root"), (F.col("up") != F.col("root")).alias("moved"))
+            k += 1
             at = scratch.write(moved.observe(seen, F.count_if("moved").alias("n")).drop("moved"), str(k))
             if not _observed(seen).get("n", 0):
                 return at
