@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -12,9 +13,13 @@ from pyspark.sql import functions as F
 
 from quarryglass.functions.keys import hamming
 from quarryglass.operators.components import connected_components
+from quarryglass.operators.hamming_balls import ball_pairs
 from quarryglass.plans.cut import Scratch
 from quarryglass.plans.salt import salted_join
 
+#: Blocking keys of a value up to which pairs are found by them.
+MOST_KEYS = 200
+
 
 def block_masks(distance: int, bands: int) -> list[int]:
     """Masks of 64 bits such that two values within ``distance`` bits agree under at least one of them.
@@ -42,12 +47,16 @@ def hamming_value_pairs(values: DataFrame, distance: int, bands: int | None = No
 
     Exact, by :func:`block_masks` (``distance + 2`` bands unless given) and a check of each pair that shares a key; of several
     shared keys only the first gives the pair. A key of very many values is split over tasks. A negative distance gives none. Null values match nothing.
+    Where a value would have more than ``MOST_KEYS`` keys, these are many and short, and :func:`ball_pairs` finds the pairs.
     """
     spark = values.sparkSession
     if distance < 0:
         return spark.createDataFrame([], "a bigint, b bigint, bits int")
     bands = bands or min(64, distance + 2)
-    keys = block_keys(values.where("value IS NOT NULL").select("value").distinct(), distance, bands)
+    known = values.where("value IS NOT NULL").select("value").distinct()
+    if distance < bands <= 64 and comb(bands, distance) > MOST_KEYS:
+        return ball_pairs(known, distance)
+    keys = block_keys(known, distance, bands)
     keys = Scratch(spark, "blocks").write(keys)
     met = salted_join(keys.withColumnRenamed("value", "a"), keys.withColumnRenamed("value", "b"), ["mask_no", "key"], "a", rows_per_task)
     bits = hamming(F.col("a"), F.col("b")).cast("int")
